@@ -59,7 +59,7 @@ _DATE = "|".join(
 _TIME = r"(?:(?P<ha>\d{1,2}):(?P<ia>\d\d)(?::(?P<ea>\d\d)(?:[.,](?P<fa>\d{1,9}))?)?|(?P<hb>\d\d)(?P<ib>\d\d)(?:(?P<eb>\d\d)(?:[.,](?P<fb>\d{1,9}))?)?)"
 _ZONE = r"(?:(?:utc|gmt|z)?(?P<zs>[+-])(?P<zh>\d{1,2})(?::?(?P<zm>\d\d))?|(?P<zn>[a-z]+/[a-z0-9_+/-]+)|(?P<za>[a-z]{1,5}))"
 PATTERN = re.compile(
-    rf"\s*(?:(?:{_DATE})(?:(?:[T,\s]\s*|(?<=\d{{8}}))(?:at\s+)?{_TIME}(?:\s*(?P<ap>[ap])\.?m\.?)?(?:\s*{_ZONE})?)?|(?P<ep>\d{{9,19}})(?:\.(?P<ef>\d{{1,9}}))?)\s*",
+    rf"\s*(?:(?:{_DATE})(?:(?:[T,\s]\s*|(?<=\d{{8}}))(?:at\s+)?{_TIME}(?:\s*(?P<ap>[ap])\.?m\b\.?)?(?:\s*{_ZONE})?)?|(?P<ep>\d{{9,19}})(?:\.(?P<ef>\d{{1,9}}))?)\s*",
     re.IGNORECASE | re.ASCII,
 )
 
