@@ -1,2 +1,328 @@
-def changes(df): raise NotImplementedError
-def unified(df): raise NotImplementedError
+"""Schemas that drift between files: every field change reported, all records read into one table.
+
+Each file of a feed is compared with the one before it. Both files' columns
+are profiled (JSON types, null share, value sketch, name). Renames are found
+by bipartite matching between the fields that vanished and those that
+appeared: an edge's weight is the agreement of the values themselves where
+the newer file repeats records of the older one (the records are lined up by
+the values they share, since ids may be renamed too; agreement tolerates
+another type, a power-of-ten unit and another way to write an instant), else
+the similarity of the sketches, with name similarity to break ties. The best
+assignment (Hungarian method) keeps only edges above a threshold.
+
+Types carry on from file to file in windows over the profiles: a file with
+only nulls keeps the type known before, a field that returns is only added.
+
+Scale: records are grouped by (feed, file), a group is two small files
+however large a feed is, and the windows per feed and field run over one row
+per file. Field-name lineages (schema-sized) are joined on the driver.
+
+Defined results: records without feed, file number or payload, and payloads
+that aren't one JSON object, are left out of the comparison; a feed's first
+file has no changes; an empty table gives an empty report.
+"""
+
+from __future__ import annotations
+
+import json
+import math
+import re
+from datetime import datetime
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+ABSENT = object()
+
+
+def load(payload: str) -> dict | None:
+    try:
+        d = json.loads(payload)
+    except (ValueError, RecursionError):
+        return None
+    return d if isinstance(d, dict) else None
+
+
+def kind(v) -> str | None:
+    """JSON type; a number is integer without decimal point."""
+    if v is None:
+        return None
+    if isinstance(v, bool):
+        return "boolean"
+    return {str: "string", int: "integer", float: "number", list: "array", dict: "object"}[type(v)]
+
+
+def kind_of(values: list) -> str | None:
+    """Type of a field in a file: number if any value has a decimal point, else the most frequent type."""
+    kinds = [k for k in map(kind, values) if k]
+    if not kinds:
+        return None
+    if "number" in kinds and set(kinds) <= {"number", "integer"}:
+        return "number"
+    return max(sorted(set(kinds)), key=kinds.count)
+
+
+_INSTANT = re.compile(r"\d{4}-\d\d-\d\d[T ]\d\d:\d\d:\d\d(?:\.\d+)?(?:Z|[+-]\d\d:?\d\d)?")
+
+
+def canon(v):
+    """A value in one form: numbers as (magnitude-free) floats, instants as epoch seconds, the rest as text."""
+    if isinstance(v, bool) or v is None:
+        return v
+    if isinstance(v, (int, float)):
+        return ("n", float(v)) if abs(v) < 1e300 else ("s", str(v))
+    if isinstance(v, str):
+        t = v.strip()
+        if re.fullmatch(r"[+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?", t, re.I):
+            return ("n", float(t)) if len(t) < 300 else ("s", t)
+        if _INSTANT.fullmatch(t):
+            try:
+                d = datetime.fromisoformat(t.replace("Z", "+00:00"))
+                return ("n", (d.replace(tzinfo=None) - datetime(1970, 1, 1)).total_seconds() - (d.utcoffset().total_seconds() if d.utcoffset() else 0))
+            except ValueError:
+                pass
+        return ("s", t.lower())
+    return ("s", json.dumps(v, sort_keys=True))
+
+
+def agreement(old: list, new: list) -> float | None:
+    """Share of lined-up values that are the same quantity; None if no pair has two values.
+
+    Numbers agree when one power of ten explains all pairs; the share then counts pairs within rounding.
+    """
+    pairs = [(canon(a), canon(b)) for a, b in zip(old, new) if a is not None and b is not None]
+    if not pairs:
+        return None
+    equal = sum(a == b for a, b in pairs) / len(pairs)
+    numbers = [(a[1], b[1]) for a, b in pairs if isinstance(a, tuple) and isinstance(b, tuple) and a[0] == b[0] == "n"]
+    if len(numbers) == len(pairs) and equal < 1:
+        ratios = [math.log10(b / a) for a, b in numbers if a * b > 0]
+        if ratios:
+            p = round(sorted(ratios)[len(ratios) // 2])
+            scaled = sum(math.isclose(a * 10.0**p, b, rel_tol=2e-4, abs_tol=1e-9) for a, b in numbers) / len(numbers)
+            # several records must tell the same story where only the scale links them
+            equal = max(equal, scaled if p == 0 or len({a for a, _ in numbers}) > 1 else 0.6 * scaled)
+    return equal
+
+
+def sketch(values: list) -> tuple:
+    """A value sketch: type, length and magnitude summaries, and a bottom-k of value hashes."""
+    seen = [canon(v) for v in values if v is not None]
+    numbers = sorted(v[1] for v in seen if isinstance(v, tuple) and v[0] == "n")
+    texts = [v[1] for v in seen if isinstance(v, tuple) and v[0] == "s"]
+    mid = numbers[len(numbers) // 2] if numbers else None
+    bottom = sorted(hash(v) for v in set(map(str, seen)))[:16]
+    return (len(numbers) / max(1, len(seen)), math.log10(abs(mid) + 1e-9) if mid is not None else None, sum(map(len, texts)) / max(1, len(texts)), bottom)
+
+
+def likeness(a: tuple, b: tuple) -> float:
+    """Similarity of two sketches in [0, 1]."""
+    numeric = 1 - abs(a[0] - b[0])
+    scale = 1 / (1 + abs(a[1] - b[1])) if a[1] is not None and b[1] is not None else 0.5
+    length = 1 - abs(a[2] - b[2]) / max(a[2], b[2], 1)
+    shared = len(set(a[3]) & set(b[3])) / max(1, min(len(a[3]), len(b[3])))
+    return 0.35 * numeric + 0.15 * scale + 0.2 * length + 0.3 * shared
+
+
+def names_alike(a: str, b: str) -> float:
+    """Overlap of name parts, camel and snake case alike; 1 for the same parts."""
+    parts = lambda s: {p.lower() for p in re.findall(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+", s)}
+    x, y = parts(a), parts(b)
+    return len(x & y) / max(1, len(x | y))
+
+
+def line_up(old: list[dict], new: list[dict]) -> list[tuple[dict, dict]]:
+    """Repeated records, lined up: the tail of the older file against the head of the newer one at the overlap where values agree best.
+
+    Where no overlap fits (records out of order), each new record goes with
+    the old one it shares the most telling values with.
+    """
+    values = lambda r: {v for v in map(canon, r.values()) if isinstance(v, tuple)}
+    a, b = [values(r) for r in old], [values(r) for r in new]
+    best, size = 0.0, 0
+    for k in range(1, min(len(a), len(b)) + 1):
+        score = sum(len(x & y) / max(1, min(len(x), len(y))) - 0.4 for x, y in zip(a[-k:], b[:k]))
+        if score > best:
+            best, size = score, k
+    if size:
+        return list(zip(old[-size:], new[:size]))
+    where: dict = {}
+    for k, vs in enumerate(a):
+        for v in vs:
+            where.setdefault(v, []).append(k)
+    spread: dict = {}
+    for vs in b:
+        for v in vs:
+            spread[v] = spread.get(v, 0) + 1
+    votes: dict[tuple[int, int], float] = {}
+    for j, vs in enumerate(b):
+        for v in vs:
+            for k in where.get(v, ()):
+                votes[k, j] = votes.get((k, j), 0) + 1 / (len(where[v]) * spread[v])
+    out, left, right = [], set(), set()
+    for (k, j), n in sorted(votes.items(), key=lambda x: (-x[1], x[0])):
+        if n >= 1.5 and k not in left and j not in right:
+            left.add(k)
+            right.add(j)
+            out.append((old[k], new[j]))
+    return out
+
+
+def assign(weights: list[list[float]]) -> list[tuple[int, int]]:
+    """Maximum-weight bipartite matching (Hungarian method with potentials), rows to columns."""
+    if not weights or not weights[0]:
+        return []
+    flip = len(weights) > len(weights[0])
+    w = [list(c) for c in zip(*weights)] if flip else weights
+    n, m = len(w), len(w[0])
+    u, v, match = [0.0] * (n + 1), [0.0] * (m + 1), [0] * (m + 1)
+    for i in range(1, n + 1):
+        match[0], j0 = i, 0
+        low, back, done = [math.inf] * (m + 1), [0] * (m + 1), [False] * (m + 1)
+        while True:
+            done[j0], i0, delta, j1 = True, match[j0], math.inf, 0
+            for j in range(1, m + 1):
+                if not done[j]:
+                    cur = -w[i0 - 1][j - 1] - u[i0] - v[j]
+                    if cur < low[j]:
+                        low[j], back[j] = cur, j0
+                    if low[j] < delta:
+                        delta, j1 = low[j], j
+            for j in range(m + 1):
+                if done[j]:
+                    u[match[j]] += delta
+                    v[j] -= delta
+                else:
+                    low[j] -= delta
+            j0 = j1
+            if not match[j0]:
+                break
+        while j0:
+            match[j0], j0 = match[back[j0]], back[j0]
+    out = [(match[j] - 1, j - 1) for j in range(1, m + 1) if match[j]]
+    return [(b, a) for a, b in out] if flip else out
+
+
+def columns(records: list[dict]) -> dict[str, list]:
+    out: dict[str, list] = {}
+    for r in records:
+        for f, v in r.items():
+            out.setdefault(f, []).append(v)
+    return out
+
+
+def renames(old: list[dict], new: list[dict], by_values: float = 0.75, by_sketch: float = 0.8) -> dict[str, str]:
+    """{new name: old name} between two files."""
+    a, b = columns(old), columns(new)
+    gone, come = sorted(set(a) - set(b)), sorted(set(b) - set(a))
+    if not gone or not come:
+        return {}
+    pairs = line_up(old, new)
+    weights = []
+    for g in gone:
+        row = []
+        for c in come:
+            both = [(x.get(g), y.get(c)) for x, y in pairs]
+            same = agreement([x for x, _ in both], [y for _, y in both])
+            alike = names_alike(g, c)
+            if same is not None:
+                row.append(2 * same + 0.2 * alike if same >= by_values else -1.0)
+            else:
+                # no repeated record has both values: a value that was there and is gone, or the other way, speaks against
+                one_sided = sum((x is None) != (y is None) for x, y in both)
+                s = likeness(sketch(a[g]), sketch(b[c]))
+                row.append(s + 0.2 * alike if one_sided == 0 and s + 0.2 * alike >= by_sketch and alike > 0 else -1.0)
+        weights.append(row)
+    return {come[j]: gone[i] for i, j in assign(weights) if weights[i][j] > 0}
+
+
+_COMPARED = "feed string, file_seq int, idx bigint, field_name string, kind string, came_from string, state string"
+
+
+def _compare(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    """One row per field of the newer file (state same, added, renamed) and per field that vanished (state removed)."""
+    feed, seq, idx = key
+    pdf = pdf.sort_values(["line_no", "rec_no"], kind="stable")
+    read = lambda older: [r for r in map(load, pdf.loc[pdf["older"] == older, "payload"]) if r is not None]
+    old, new = read(True), read(False)
+    a, b = columns(old), columns(new)
+    moved = renames(old, new) if old else {}
+    rows = [(feed, seq, idx, f, kind_of(v), moved.get(f), "renamed" if f in moved else "same" if f in a or not old else "added") for f, v in b.items()]
+    rows += [(feed, seq, idx, f, None, None, "removed") for f in a if f not in b and f not in moved.values()] if new else []
+    return pd.DataFrame(rows, columns=["feed", "file_seq", "idx", "field_name", "kind", "came_from", "state"])
+
+
+def compared(files: DataFrame) -> DataFrame:
+    """Each file's fields against the file before."""
+    rows = files.where(F.col("feed").isNotNull() & F.col("file_seq").isNotNull() & F.col("payload").isNotNull()).select("feed", F.col("file_seq").cast("int").alias("file_seq"), F.coalesce("line_no", F.lit(0)).alias("line_no"), "rec_no", "payload")
+    order = rows.select("feed", "file_seq").distinct()
+    along = W.partitionBy("feed").orderBy("file_seq")
+    order = order.select("feed", "file_seq", F.row_number().over(along).cast("bigint").alias("idx"), F.lead("file_seq").over(along).alias("next_seq"))
+    rows = rows.join(order, ["feed", "file_seq"])
+    # a file is read as the newer of its pair and as the older of the next
+    roles = F.array(
+        F.struct(F.col("file_seq").alias("seq"), F.col("idx").alias("idx"), F.lit(False).alias("older")),
+        F.struct(F.col("next_seq").alias("seq"), (F.col("idx") + 1).alias("idx"), F.lit(True).alias("older")),
+    )
+    rows = rows.select("feed", "line_no", "rec_no", "payload", F.explode(roles).alias("r")).where(F.col("r.seq").isNotNull())
+    rows = rows.select("feed", F.col("r.seq").alias("file_seq"), F.col("r.idx").alias("idx"), F.col("r.older").alias("older"), "line_no", "rec_no", "payload")
+    return rows.groupBy("feed", "file_seq", "idx").applyInPandas(_compare, _COMPARED)
+
+
+def changes(files: DataFrame) -> DataFrame:
+    """(feed, file_seq, field_name, change_kind, came_from): added, removed, renamed, retyped."""
+    c = compared(files)
+    state = c.where("state <> 'removed'")
+    along = W.partitionBy("feed", "field_name").orderBy("idx")
+    known = lambda s: s.withColumn("known", F.last("kind", ignorenulls=True).over(along))
+    # a renamed field without a value in its first file goes on with the old name's type
+    first = known(state)
+    was = first.select("feed", (F.col("idx") + 1).alias("idx"), F.col("field_name").alias("prev_name"), F.col("known").alias("was"))
+    prev_name = F.coalesce("came_from", F.when(F.col("state") == "same", F.col("field_name")))
+    carried = first.withColumn("prev_name", prev_name).join(was, ["feed", "idx", "prev_name"], "left").withColumn("kind", F.coalesce("kind", "was"))
+    second = known(carried.drop("known", "was"))
+    was = second.select("feed", (F.col("idx") + 1).alias("idx"), F.col("field_name").alias("prev_name"), F.col("known").alias("was"))
+    typed = second.join(was, ["feed", "idx", "prev_name"], "left")
+    retyped = typed.where("idx > 1 and state <> 'added' and kind <> was").select("feed", "file_seq", "field_name", F.lit("retyped").alias("change_kind"), "came_from")
+    others = c.where("idx > 1 and state <> 'same'").select("feed", "file_seq", "field_name", F.col("state").alias("change_kind"), "came_from")
+    return others.unionByName(retyped)
+
+
+def lineages(moves: list[tuple[str, str, str, int]]) -> dict[tuple[str, str], str]:
+    """{(venue, name): canonical name} from (venue, old name, new name, feeds) moves: names that ever followed one another are one column, called by its first name used most."""
+    parent: dict[tuple[str, str], tuple[str, str]] = {}
+    starts: dict[tuple[str, str], int] = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for venue, old, new, n in moves:
+        a, b = root((venue, old)), root((venue, new))
+        starts[(venue, old)] = starts.get((venue, old), 0) + n
+        parent[b] = a
+    groups: dict[tuple[str, str], list[tuple[str, str]]] = {}
+    for x in list(parent):
+        groups.setdefault(root(x), []).append(x)
+    return {x: max(g, key=lambda y: (starts.get(y, 0), y[1]))[1] for g in groups.values() for x in g}
+
+
+def unified(files: DataFrame, known: DataFrame | None = None, support: int = 2) -> DataFrame:
+    """(venue, rec_no, feed, file_seq, fields map<string,string>): every record under its venue's canonical column names, numbers and instants in one form.
+
+    ``known`` is a report of changes(); moves seen in fewer than ``support`` places don't merge names.
+    """
+    venues = files.select("feed", "venue").where("feed is not null and venue is not null").distinct()
+    report = changes(files) if known is None else known
+    moves = report.where("change_kind = 'renamed'").join(venues, "feed").groupBy("venue", "came_from", "field_name").agg(F.count("*").alias("n")).where(F.col("n") >= support)
+    canonical = lineages([tuple(r) for r in moves.collect()])  # schema-sized
+    entries = [x for (venue, name), to in canonical.items() for x in (F.lit(f"{venue}|{name}"), F.lit(to))]
+    names = F.create_map(*entries) if entries else F.create_map(F.lit(""), F.lit(""))
+    flat = F.from_json("payload", "map<string,string>")
+    named: Column = F.transform(F.map_entries(flat), lambda e: F.struct(F.coalesce(F.try_element_at(names, F.concat(F.col("venue"), F.lit("|"), e["key"])), e["key"]).alias("key"), e["value"].alias("value")))
+    merged = F.map_from_entries(F.transform(F.array_distinct(F.transform(named, lambda e: e["key"])), lambda k: F.struct(k.alias("key"), F.filter(named, lambda e: e["key"] == k)[0]["value"].alias("value"))))
+    return files.where("payload is not null").select("venue", "rec_no", "feed", "file_seq", merged.alias("fields"))
