@@ -311,7 +311,7 @@ def lineages(moves: list[tuple[str, str, str, int]]) -> dict[tuple[str, str], st
     return {x: max(g, key=lambda y: (starts.get(y, 0), y[1]))[1] for g in groups.values() for x in g}
 
 
-def unified(files: DataFrame, known: DataFrame | None = None, support: int = 2) -> DataFrame:
+def unified(files: DataFrame, known: DataFrame | None = None, support: int = 1) -> DataFrame:
     """(venue, rec_no, feed, file_seq, fields map<string,string>): every record under its venue's canonical column names, numbers and instants in one form.
 
     ``known`` is a report of changes(); moves seen in fewer than ``support`` places don't merge names.
