@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-ABSENT = object()
+from tapelight.session import written
 
 
 def load(payload: str) -> dict | None:
@@ -273,7 +273,8 @@ def compared(files: DataFrame) -> DataFrame:
 
 def changes(files: DataFrame) -> DataFrame:
     """(feed, file_seq, field_name, change_kind, came_from): added, removed, renamed, retyped."""
-    c = compared(files)
+    # read by several joins below: the comparison, the one Python step, runs once
+    c = written(compared(files), "drift")
     state = c.where("state <> 'removed'")
     along = W.partitionBy("feed", "field_name").orderBy("idx")
     known = lambda s: s.withColumn("known", F.last("kind", ignorenulls=True).over(along))
