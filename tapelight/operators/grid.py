@@ -68,5 +68,5 @@ def counter_grid(df: DataFrame, series: str, time: str, counter: str, tie: str,
         "series", (F.col("at") * cell_s).alias("cell_s"), out.alias("covered"), F.when(out, F.col("n")).otherwise(0).alias("n"),
         F.when(out, F.col("last_value")).alias("last_value"), F.col("last_value").alias("filled_value"),
         (spread + F.when(out, F.col("inner") + head).otherwise(0.0)).alias("increment"),
-        F.when(out, F.col("resets") + (F.col("pc") > F.col("c0")).cast("int")).otherwise(0).alias("resets"),
+        F.when(out, F.col("resets") + F.coalesce((F.col("pc") > F.col("c0")).cast("int"), F.lit(0))).otherwise(0).alias("resets"),
     )

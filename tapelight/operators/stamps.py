@@ -150,7 +150,7 @@ def parse(df, value: str, home_zone: Column | None = None, date_order: Column |
     """Add ``{keep}_us`` (UTC microseconds) and ``{keep}_day`` (the calendar date written, days since 1970) for column ``value``."""
     zones = known_zones(df.sparkSession) if zones is None else zones
     nothing = F.lit(None).cast("string")
-    own, p = df.columns, f"{keep}p"
+    own, p = [c for c in df.columns if c not in (f"{keep}_us", f"{keep}_day", f"{keep}p")], f"{keep}p"
     df = df.withColumn(p, _assemble(F.col(value), date_order if date_order is not None else nothing))
     named = F.coalesce(F.col(f"{p}.zone"), home_zone if home_zone is not None else nothing)
     zone = F.when(named.isin(zones), named)

@@ -173,9 +173,14 @@ def collateral(df: DataFrame, id_unit: float = 1e-6) -> Column:
     return F.when(zero("maker_asset_id"), F.col("maker_amount") * id_unit).when(zero("taker_asset_id"), F.col("taker_amount") * id_unit)
 
 
+def _others(df: DataFrame, *made: str) -> list[str]:
+    """Input columns that keep their place; one named like a result gives way to it."""
+    return [c for c in df.columns if c not in made]
+
+
 def live_quantities(df: DataFrame) -> DataFrame:
     """tape_live with ``price_usd``, ``contracts`` and the scales they were recorded at."""
-    own = df.columns
+    own = _others(df, "price_scale", "count_scale", "price_usd", "contracts")
     df = quantities(df, _y="yes_price_dollars", _n="no_price_dollars", _c="count_fp")
     df = df.withColumns({"price_scale": fence(price_scale(F.col("_y"), F.col("_n"))), "count_scale": fence(count_scale(F.col("_c")))})
     ten = lambda c: F.pow(F.lit(10.0), F.col(c))
@@ -184,7 +189,7 @@ def live_quantities(df: DataFrame) -> DataFrame:
 
 def archive_quantities(df: DataFrame) -> DataFrame:
     """tape_archive with ``price_usd`` and its scale; the column's own unit is cents."""
-    own = df.columns
+    own = _others(df, "price_scale", "price_usd")
     bare = lambda c: F.struct(F.col(c).cast("double").alias("number"), F.lit(0).alias("money"), F.lit(0).alias("count"), F.lit(0).alias("scale"), F.lit(False).alias("unit"))
     df = df.withColumn("price_scale", fence(price_scale(bare("yes_price"), bare("no_price"), ceiling=-2, steps=(-2, -3, -4, 0))))
     return df.select(*own, "price_scale", (F.col("yes_price") * F.pow(F.lit(10.0), F.col("price_scale"))).alias("price_usd"))
@@ -192,7 +197,7 @@ def archive_quantities(df: DataFrame) -> DataFrame:
 
 def notional_quantities(df: DataFrame) -> DataFrame:
     """pm_trades with ``usdc`` and its scale; expected amounts come from the fill's collateral leg, else from size and the traded token's price."""
-    own = df.columns
+    own = _others(df, "usdc_scale", "usdc")
     sized = F.col("size") * F.when(F.lower("outcome") == "no", 1 - F.col("price_yes")).otherwise(F.col("price_yes"))
     good = lambda c: F.when(~F.isnan(c), c)
     df = df.withColumn("_e", F.coalesce(collateral(df), good(sized)))

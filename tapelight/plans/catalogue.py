@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from tapelight.functions import text as X
 from tapelight.operators import asof, bars, eventstudy, ladders, match, stats
+from tapelight.sources import io
 from tapelight.sources.fixtures import LADDER_SQL, TAPE_SQL, ladder, tape
 from tapelight.sources.tables import table
+from tapelight.streaming import live
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -460,3 +462,195 @@ def q53_holdout_cards(spark, sf):
     # cards are few: ranked apart from the trades, then met by date
     cards = t.select("card").distinct().withColumn("sealed", F.dense_rank().over(Window.orderBy(F.desc("card"))) <= 2)
     return t.join(cards, "card").groupBy("card", "sealed").agg(F.count("*").alias("n"), F.round(F.avg("price"), 6).alias("mean_price"))
+
+
+# -- streaming ----------------------------------------------------------------
+@query(ORACLE["q01_bars_vwap"])
+def q54_stream_bars_available_now(spark, sf):
+    """q01 as a stream: dedup within the watermark, tumbling windows, all that is there."""
+    schema = spark.read.parquet(f"{sf}/events.parquet").schema
+    at = f"{sf}/events.parquet"
+    from pathlib import Path
+
+    folder, glob = (at, "*.parquet") if Path(at).is_dir() else (sf, "events.parquet")
+    e = spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(folder)
+    k = F.get_json_object("props", "$.k").cast("int")
+    t = e.select(F.col("event_id").alias("trade_id"), (F.col("user_id") % 20).alias("ticker"), ((k + 0.5) / 100).alias("price"), F.col("value").alias("size"), F.col("ts").cast("timestamp").alias("ts"))
+    return rounded(live.drain(live.streaming_bars(live.once(t, "trade_id", "ts", "3650 days"), ["ticker"], "ts", "1 hour")), "last", "vwap", "vol")
+
+
+# -- venue P fills, sides and windows -----------------------------------------
+_YES = ", tk AS (SELECT id AS market_id, json_extract_string(clob_token_ids, '$[0]') AS yes_token, json_extract_string(clob_token_ids, '$[1]') AS no_token FROM markets_p)"
+_FILLS = "fills AS (SELECT delivery_id, CAST(TRY_CAST(trim(market_id) AS DOUBLE) AS BIGINT)::VARCHAR AS market_id, maker_asset_id, taker_asset_id, maker_amount, taker_amount FROM pm_trades WHERE maker_amount IS NOT NULL)"
+
+
+def _fills(spark, sf):
+    from tapelight.operators.delivery import whole_id
+
+    f = table(spark, sf, "pm_trades").where("maker_amount is not null")
+    return f.select("delivery_id", whole_id(F.col("market_id")).alias("market_id"), "maker_asset_id", "taker_asset_id", "maker_amount", "taker_amount")
+
+
+def _tokens(spark, sf):
+    ids = X.json_list(F.col("clob_token_ids"))
+    return table(spark, sf, "markets_p").select(F.col("id").alias("market_id"), F.get(ids, F.lit(0)).alias("yes_token"), F.get(ids, F.lit(1)).alias("no_token"))
+
+
+@query("WITH " + _FILLS + _YES + " SELECT f.* FROM fills f LEFT JOIN tk USING (market_id) WHERE yes_token IS NULL OR maker_asset_id = yes_token OR taker_asset_id = yes_token")
+def q55_complement_filter(spark, sf):
+    return match.complement_filter(_fills(spark, sf), _tokens(spark, sf))
+
+
+@query("WITH " + _FILLS + _YES + """, p AS (SELECT *, CASE WHEN length(maker_asset_id)<20 THEN maker_amount ELSE taker_amount END AS u, CASE WHEN length(maker_asset_id)<20 THEN taker_amount ELSE maker_amount END AS q FROM fills LEFT JOIN tk USING (market_id))
+ SELECT delivery_id, round(u/1e6,6) AS usd, round(q/1e6,6) AS qty, round(CASE WHEN no_token IN (maker_asset_id, taker_asset_id) THEN 1-u*1.0/nullif(q,0) ELSE u*1.0/nullif(q,0) END,6) AS price_yes FROM p""")
+def q56_onchain_price(spark, sf):
+    d = match.fill_price(_fills(spark, sf)).join(_tokens(spark, sf), "market_id", "left")
+    no = (F.col("maker_asset_id") == F.col("no_token")) | (F.col("taker_asset_id") == F.col("no_token"))
+    return d.select("delivery_id", F.round("usd", 6).alias("usd"), F.round("qty", 6).alias("qty"), F.round(F.when(no, 1 - F.col("price")).otherwise(F.col("price")), 6).alias("price_yes"))
+
+
+@query("SELECT ticker, epoch_us(close_time)//1000000 - 3600 - (epoch_us(close_time)//1000000 - 3600) % 300 AS t_end, epoch_us(close_time)//1000000 - 3600 - (epoch_us(close_time)//1000000 - 3600) % 300 - 259200 AS t_start FROM markets_k WHERE close_time IS NOT NULL")
+def q57_fight_window(spark, sf):
+    end = bars.floor_to(F.unix_seconds("close_time") - 3600, 300)
+    return table(spark, sf, "markets_k").where("close_time is not null").select("ticker", end.alias("t_end"), (end - 259200).alias("t_start"))
+
+
+@query("""WITH w AS (SELECT ticker, epoch_us(close_time)//1000000 AS c FROM markets_k WHERE close_time IS NOT NULL), t AS (SELECT a.ticker, epoch_us(created_time)//1000000 AS t, delivery_id, CASE WHEN yes_price+no_price=1000 THEN yes_price/1e3 WHEN yes_price+no_price=10000 THEN yes_price/1e4 ELSE yes_price/1e2 END AS price, n_contracts AS q FROM tape_archive a WHERE yes_price IS NOT NULL AND no_price IS NOT NULL)
+ SELECT t.ticker, t - t % 300 AS bar, count(*) AS n, round(arg_max(price,(t,delivery_id)),6) AS last, sum(q)::BIGINT AS vol FROM t JOIN w ON t.ticker=w.ticker AND t>=c-259200-3600 AND t<c+7200 GROUP BY ALL""")
+def q58_window_bars(spark, sf):
+    from tapelight.operators.units import archive_quantities
+
+    w = table(spark, sf, "markets_k").where("close_time is not null").select(F.col("ticker").alias("tk"), F.unix_seconds("close_time").alias("c"))
+    t = archive_quantities(table(spark, sf, "tape_archive").where("yes_price is not null and no_price is not null").select("ticker", "created_time", "delivery_id", "yes_price", "no_price", "n_contracts"))
+    t = t.select("ticker", F.unix_seconds("created_time").alias("t"), F.col("delivery_id").alias("trade_id"), F.col("price_usd").alias("price"), F.col("n_contracts").alias("size"))
+    j = t.join(w, (F.col("tk") == F.col("ticker")) & (F.col("t") >= F.col("c") - 259200 - 3600) & (F.col("t") < F.col("c") + 7200))
+    return rounded(bars.make_bars(j, ["ticker"], 300), "last").select("ticker", "bar", "n", "last", "vol")
+
+
+@query("""WITH c AS (SELECT s, m, make_timestamp(y, m, 10, 8, 30, 0) AS wall FROM (VALUES ('cpi'),('jobs')) v(s), (SELECT unnest(range(1,13)) m), (SELECT unnest([2024,2025]) y)) SELECT s AS series, epoch_us(wall AT TIME ZONE 'America/New_York')//1000000 AS release_utc FROM c""")
+def q59_release_calendar(spark, sf):
+    s = io.literal(spark, [("cpi",), ("jobs",)], "series string")
+    d = s.withColumn("y", F.explode(F.array(F.lit(2024), F.lit(2025)))).withColumn("m", F.explode(F.sequence(F.lit(1), F.lit(12))))
+    wall = F.make_timestamp("y", "m", F.lit(10), F.lit(8), F.lit(30), F.lit(0))
+    return d.select("series", F.unix_seconds(F.to_utc_timestamp(wall, "America/New_York")).alias("release_utc"))
+
+
+@query("WITH " + TAPE_SQL + _CAL + """, m AS (SELECT cal.ticker, t0, arg_max(price,(t,trade_id)) FILTER (t<t0) AS pre, t0 - max(t) FILTER (t<t0) AS stale, arg_max(price,(t,trade_id)) FILTER (t<=t0+14400) AS p4, arg_max(price,(t,trade_id)) FILTER (t<=t0+86400) AS p24, count_if(t>t0)::BIGINT AS n FROM cal JOIN tape ON cal.ticker=tape.ticker AND t BETWEEN t0-21600 AND t0+86400 GROUP BY cal.ticker, t0)
+ SELECT ticker, count(*) AS events, count_if(pre IS NOT NULL AND stale<=7200 AND n>0)::BIGINT AS usable, round(avg(p4-pre),6) AS drift_4h, round(avg(p24-pre),6) AS drift_24h FROM m GROUP BY ticker""")
+def q60_event_drift(spark, sf):
+    t = tape(spark, sf)
+    j = asof.event_windows(_calendar(t).withColumnRenamed("ticker", "tk"), t, 21600, 86400).where("tk = ticker")
+    at = F.struct("t", "trade_id")
+    upto = lambda s: F.max_by("price", F.when(F.col("t") <= F.col("t0") + s, at))
+    pre = F.col("t") < F.col("t0")
+    m = j.groupBy("ticker", "t0").agg(F.max_by("price", F.when(pre, at)).alias("pre"), F.max(F.when(pre, F.col("t"))).alias("tp"), upto(14400).alias("p4"), upto(86400).alias("p24"), F.count_if(F.col("t") > F.col("t0")).alias("n"))
+    good = F.col("pre").isNotNull() & (F.col("t0") - F.col("tp") <= 7200) & (F.col("n") > 0)
+    return m.groupBy("ticker").agg(F.count("*").alias("events"), F.count_if(good).alias("usable"), F.round(F.avg(F.col("p4") - F.col("pre")), 6).alias("drift_4h"), F.round(F.avg(F.col("p24") - F.col("pre")), 6).alias("drift_24h"))
+
+
+# -- more of the ladders ------------------------------------------------------
+@query("WITH " + _DENSE + " SELECT contract, date, strike, round(price*100/sum(price) OVER (PARTITION BY contract, date),6) AS probability FROM dense")
+def q61_exclusive_bins(spark, sf):
+    return rounded(ladders.exclusive_bins(_dense(spark, sf)), "probability").select("contract", "date", "strike", "probability")
+
+
+@query("WITH " + _PMF + ", c AS (SELECT *, sum(probability) OVER (PARTITION BY contract, date ORDER BY strike) AS cum, sum(probability) OVER (PARTITION BY contract, date) AS t FROM pmf) SELECT contract, date, min(strike) FILTER (cum>=0.25*t-1e-9) AS p25, min(strike) FILTER (cum>=0.75*t-1e-9) AS p75, round(sum(probability) FILTER (strike>40),6) AS tail FROM c GROUP BY contract, date")
+def q62_tail_quantiles(spark, sf):
+    p = ladders.pmf(ladders.monotone(_dense(spark, sf)))
+    w = Window.partitionBy("contract", "date")
+    c = p.withColumns({"cum": F.sum("probability").over(w.orderBy("strike")), "t": F.sum("probability").over(w)})
+    at = lambda q: F.min(F.when(F.col("cum") >= q * F.col("t") - 1e-9, F.col("strike")))
+    return c.groupBy("contract", "date").agg(at(0.25).alias("p25"), at(0.75).alias("p75"), F.round(F.sum(F.when(F.col("strike") > 40, F.col("probability"))), 6).alias("tail"))
+
+
+@query("WITH " + _DAILY + " SELECT contract, date, " + ", ".join(f"max(last) FILTER (strike={k}) AS s{k}" for k in (1, 10, 25, 50)) + " FROM daily GROUP BY contract, date")
+def q63_ladder_wide(spark, sf):
+    strikes = [1, 10, 25, 50]
+    d = ladders.daily(ladder(spark, sf)).withColumn("s", F.col("strike").cast("int")).groupBy("contract", "date").pivot("s", strikes).agg(F.max("last"))
+    return d.select("contract", "date", *[F.col(str(k)).alias(f"s{k}") for k in strikes])
+
+
+# -- statistics, reports ------------------------------------------------------
+@query("WITH " + _CO + """, r AS (SELECT *, sum(dp) OVER (PARTITION BY fight ORDER BY bar ROWS BETWEEN 1 FOLLOWING AND 1 FOLLOWING) AS r1, sum(dp) OVER (PARTITION BY fight ORDER BY bar ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING) AS r4, lead(k_last,4) OVER (PARTITION BY fight ORDER BY bar) AS e FROM co)
+ SELECT count(*) AS n, round(avg(sign(dk)*r1),6) AS near, round(avg(sign(dk)*r4),6) AS far, round(sum(sign(dk)*r1)/nullif(sum(sign(dk)*r4),0),4) AS speed, round((SELECT avg(abs(r4)) FROM r WHERE r4 IS NOT NULL),6) AS baseline FROM r WHERE abs(dk)>=0.03 AND e IS NOT NULL AND r1 IS NOT NULL AND r4 IS NOT NULL""")
+def q64_speed_ratio(spark, sf):
+    w = bars.by("fight")
+    r = _co(spark, sf).withColumns({"r1": F.sum("dp").over(w.rowsBetween(1, 1)), "r4": F.sum("dp").over(w.rowsBetween(1, 4)), "e": F.lead("k_last", 4).over(w)})
+    s, ok = F.signum("dk"), (F.abs("dk") >= 0.03) & F.col("e").isNotNull() & F.col("r1").isNotNull() & F.col("r4").isNotNull()
+    when = lambda c: F.when(ok, c)
+    return r.agg(F.count_if(ok).alias("n"), F.round(F.avg(when(s * F.col("r1"))), 6).alias("near"), F.round(F.avg(when(s * F.col("r4"))), 6).alias("far"), F.round(F.sum(when(s * F.col("r1"))) / F.nullif(F.sum(when(s * F.col("r4"))), F.lit(0.0)), 4).alias("speed"), F.round(F.avg(F.abs("r4")), 6).alias("baseline"))
+
+
+@query("WITH " + _CO + ", s AS (SELECT count_if(abs(dk)>=0.03 AND sign(dk)*dp>0)::DOUBLE a, count_if(abs(dk)>=0.03)::DOUBLE n, count_if(abs(dp)>=0.03 AND sign(dp)*dk>0)::DOUBLE b, count_if(abs(dp)>=0.03)::DOUBLE m FROM co WHERE dk IS NOT NULL AND dp IS NOT NULL) SELECT round(a/n,6) AS share_k, round(b/m,6) AS share_p, round((a/n-b/m)/sqrt((a+b)/(n+m)*(1-(a+b)/(n+m))*(1/n+1/m)),6) AS z FROM s")
+def q65_two_proportions(spark, sf):
+    d = _co(spark, sf).where("dk is not null and dp is not null")
+    one = lambda a, b: (F.count_if((F.abs(a) >= 0.03) & (F.signum(a) * F.col(b) > 0)).cast("double"), F.count_if(F.abs(a) >= 0.03).cast("double"))
+    (a, n), (b, m) = one("dk", "dp"), one("dp", "dk")
+    s = d.agg(a.alias("a"), n.alias("n"), b.alias("b"), m.alias("m"))
+    return s.select(F.round(F.col("a") / F.col("n"), 6).alias("share_k"), F.round(F.col("b") / F.col("m"), 6).alias("share_p"), F.round(stats.two_proportions(F.col("a"), F.col("n"), F.col("b"), F.col("m")), 6).alias("z"))
+
+
+@query("WITH " + _QUINT + ", s AS (SELECT q, avg(dp_1) m FROM q GROUP BY q), l AS (SELECT list(m ORDER BY q) v FROM s) SELECT CASE WHEN v[1]<=v[2] AND v[2]<=v[3] AND v[3]<=v[4] AND v[4]<=v[5] THEN 'rising' WHEN v[1]>=v[2] AND v[2]>=v[3] AND v[3]>=v[4] AND v[4]>=v[5] THEN 'falling' ELSE 'mixed' END AS shape, round(v[5]-v[1],6) AS spread, v[5]-v[1] > 0.0 AS confirmed, round((SELECT avg(2*0.07*last*(1-last)) FROM q),6) AS fee FROM l")
+def q66_confirmatory_verdict(spark, sf):
+    r = _ret(spark, sf).where("ofi_z is not null and dp_1 is not null")
+    s = stats.quintile_table(r, "ofi_z", "dp_1").agg(F.transform(F.array_sort(F.collect_list(F.struct("q", "mean_y"))), lambda e: e["mean_y"]).alias("v"))  # five rows
+    fee = r.agg(F.avg(stats.round_trip_fee(F.col("last"))).alias("fee"))
+    spread = F.get("v", F.lit(4)) - F.get("v", F.lit(0))
+    return s.crossJoin(F.broadcast(fee)).select(stats.monotone(F.col("v")).alias("shape"), F.round(spread, 6).alias("spread"), (spread > 0).alias("confirmed"), F.round("fee", 6).alias("fee"))
+
+
+@query("WITH " + TAPE_SQL + " SELECT venue, count(*) AS n, round(avg(price),6) AS mean, round(stddev_samp(price),6) AS std, min(price) AS min, quantile_cont(price,0.25) AS p25, quantile_cont(price,0.5) AS p50, quantile_cont(price,0.75) AS p75, max(price) AS max, count(DISTINCT ticker) AS tickers, round(stddev_samp(price)/sqrt(count(*)),8) AS sem FROM tape GROUP BY venue")
+def q67_describe(spark, sf):
+    q = lambda p: F.percentile("price", F.lit(p))
+    return tape(spark, sf).groupBy("venue").agg(F.count("*").alias("n"), F.round(F.avg("price"), 6).alias("mean"), F.round(F.stddev_samp("price"), 6).alias("std"), F.min("price").alias("min"), q(0.25).alias("p25"), q(0.5).alias("p50"), q(0.75).alias("p75"), F.max("price").alias("max"), F.countDistinct("ticker").alias("tickers"), F.round(F.stddev_samp("price") / F.sqrt(F.count("*")), 8).alias("sem"))
+
+
+@query("WITH " + TAPE_SQL + " SELECT venue, taker_side, count(*) AS n, round(100.0*count(*)/sum(count(*)) OVER (PARTITION BY venue),6) AS pct FROM tape GROUP BY venue, taker_side")
+def q68_value_counts(spark, sf):
+    c = tape(spark, sf).groupBy("venue", "taker_side").agg(F.count("*").alias("n"))
+    return c.select("venue", "taker_side", "n", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy("venue")), 6).alias("pct"))
+
+
+@query("SELECT series, count(*) AS n, count_if(taker_side IN ('yes','no'))::BIGINT AS usable, round(100.0*count_if(taker_side IN ('yes','no'))/count(*),6) AS pct, min(fetched_at) AS first_at, max(fetched_at) AS last_at, count(DISTINCT ticker) AS tickers FROM tape_live GROUP BY series")
+def q69_attrition(spark, sf):
+    ok = F.coalesce(F.col("taker_side").isin("yes", "no"), F.lit(False))
+    return table(spark, sf, "tape_live").groupBy("series").agg(F.count("*").alias("n"), F.count_if(ok).alias("usable"), F.round(100.0 * F.count_if(ok) / F.count("*"), 6).alias("pct"), F.min("fetched_at").alias("first_at"), F.max("fetched_at").alias("last_at"), F.countDistinct("ticker").alias("tickers"))
+
+
+@query("WITH s AS (SELECT market_id, count(usdc_amount)*2 > count(*) AS has FROM pm_trades GROUP BY 1) SELECT market_id, count(*) AS n, has, round(sum(CASE WHEN has THEN usdc_amount ELSE coalesce(TRY_CAST(size AS DOUBLE),1.0)*price_yes END),2) AS weight FROM pm_trades JOIN s USING (market_id) GROUP BY ALL")
+def q70_preferred_source(spark, sf):
+    t = table(spark, sf, "pm_trades").select("market_id", "usdc_amount", "size", "price_yes")
+    own = F.coalesce("size", F.lit(1.0)) * F.col("price_yes")
+    # both sums in one pass, the choice after it
+    g = t.groupBy("market_id").agg(F.count("*").alias("n"), (F.count("usdc_amount") * 2 > F.count("*")).alias("has"), F.sum("usdc_amount").alias("u"), F.sum(own).alias("o"))
+    return g.select("market_id", "n", "has", F.round(F.when(F.col("has"), F.col("u")).otherwise(F.col("o")), 2).alias("weight"))
+
+
+@query("WITH " + _RET + ", d AS (SELECT card, dp_1, dp_contemp FROM z WHERE dp_1 IS NOT NULL AND dp_contemp IS NOT NULL) SELECT CASE WHEN dp_contemp>0 THEN 'up' WHEN dp_contemp<0 THEN 'down' ELSE 'flat' END AS surprise, count(*) AS n, round(avg(dp_1),6) AS response, round(regr_slope(dp_1, dp_contemp),6) AS slope, round(regr_intercept(dp_1, dp_contemp),6) AS intercept FROM d GROUP BY 1")
+def q71_surprise_responses(spark, sf):
+    d = _ret(spark, sf).where("dp_1 is not null and dp_contemp is not null")
+    sign = F.when(F.col("dp_contemp") > 0, "up").when(F.col("dp_contemp") < 0, "down").otherwise("flat")
+    return d.groupBy(sign.alias("surprise")).agg(F.count("*").alias("n"), F.round(F.avg("dp_1"), 6).alias("response"), F.round(F.regr_slope("dp_1", "dp_contemp"), 6).alias("slope"), F.round(F.regr_intercept("dp_1", "dp_contemp"), 6).alias("intercept"))
+
+
+@query()
+def q72_two_shock_regression(spark, sf):
+    """Coefficients and HC3 errors of two regressors; two passes over the data, 3x3 numbers at the driver."""
+    r = stats.ols(_ret(spark, sf), ["ofi_z", "dp_contemp"], "dp_1")
+    return io.literal(spark, [(n, round(float(b), 8), round(float(s), 8)) for n, b, s in zip(("const", "ofi_z", "dp_contemp"), r["beta"], r["se"])], "name string, beta double, se double")
+
+
+@query()
+def q73_p_values(spark, sf):
+    r = stats.fe_ols(_ret(spark, sf), "ofi_z", "dp_1", "ticker", "card")
+    return r.withColumn("p", stats.p_normal(F.col("t"))).withColumn("stars", io.stars(F.col("p")))
+
+
+@query()
+def q74_crosswalk_rules(spark, sf):
+    """Rule-based crosswalk: fights and markets a day apart at most whose name tokens overlap, best overlap first, then volume."""
+    fk = table(spark, sf, "fights_k").select("fight_id", F.to_date(F.substring("fight_id", 1, 8), "yyyyMMdd").alias("d"), X.name_tokens(F.array_join("fighters_kalshi", " ")).alias("a"))
+    fp = table(spark, sf, "fights_p").where("pm_fight_date is not null and fighters_pm is not null").select("pm_id", F.col("pm_fight_date").alias("pd"), X.name_tokens(F.array_join("fighters_pm", " ")).alias("b"), "pm_volume")
+    j = asof.band_join(fk, fp, "d", "pd", 1).withColumn("overlap_count", X.overlap(F.col("a"), F.col("b"))).where("overlap_count >= 1")
+    best = match.first_per(j, ["fight_id"], [F.desc("overlap_count"), F.desc_nulls_last("pm_volume"), F.col("pm_id")])
+    return best.select("fight_id", "pm_id", "overlap_count", F.when(F.col("overlap_count") >= 2, "HIGH").otherwise("LOW").alias("match_confidence"))
