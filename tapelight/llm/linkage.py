@@ -75,7 +75,7 @@ def name_alike(a: list[str], b: list[str]) -> float:
     """Similarity of two names in [0, 1]: the shorter one's tokens, each with its best partner; little without one telling token."""
     if not a or not b:
         return 0.0
-    short, long = (a, b) if len(a) <= len(b) else (b, a)
+    short, long = sorted((a, b), key=lambda n: (len(n), sum(map(len, n)), n))
     joined, used, total, weight, telling = "".join(long), set(), 0.0, 0.0, False
     for t in sorted(short, key=len, reverse=True):
         best, at = max((token_alike(t, u) if k not in used else 0.0, -k) for k, u in enumerate(long))
