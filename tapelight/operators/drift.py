@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tapelight.operators import stamps
 from tapelight.session import written
 
 
@@ -87,6 +88,17 @@ def canon(v):
     return ("s", json.dumps(v, sort_keys=True))
 
 
+def numeric(pairs: list[tuple]) -> list[tuple[float, float]]:
+    """The pairs of canonical values of which both are numbers or instants."""
+    return [(a[1], b[1]) for a, b in pairs if isinstance(a, tuple) and isinstance(b, tuple) and a[0] == b[0] == "n"]
+
+
+def power(numbers: list[tuple[float, float]]) -> int | None:
+    """The power of ten that leads from the first of each pair to the second; None if nothing tells."""
+    ratios = sorted(math.log10(b / a) for a, b in numbers if a * b > 0)
+    return round(ratios[len(ratios) // 2]) if ratios else None
+
+
 def agreement(old: list, new: list) -> float | None:
     """Share of lined-up values that are the same quantity; None if no pair has two values.
 
@@ -96,11 +108,10 @@ def agreement(old: list, new: list) -> float | None:
     if not pairs:
         return None
     equal = sum(a == b for a, b in pairs) / len(pairs)
-    numbers = [(a[1], b[1]) for a, b in pairs if isinstance(a, tuple) and isinstance(b, tuple) and a[0] == b[0] == "n"]
+    numbers = numeric(pairs)
     if len(numbers) == len(pairs) and equal < 1:
-        ratios = [math.log10(b / a) for a, b in numbers if a * b > 0]
-        if ratios:
-            p = round(sorted(ratios)[len(ratios) // 2])
+        p = power(numbers)
+        if p is not None:
             scaled = sum(math.isclose(a * 10.0**p, b, rel_tol=2e-4, abs_tol=1e-9) for a, b in numbers) / len(numbers)
             # several records must tell the same story where only the scale links them
             equal = max(equal, scaled if p == 0 or len({a for a, _ in numbers}) > 1 else 0.6 * scaled)
@@ -238,7 +249,7 @@ def renames(old: list[dict], new: list[dict], by_values: float = 0.75, by_sketch
     return {come[j]: gone[i] for i, j in assign(weights) if weights[i][j] > 0}
 
 
-_COMPARED = "feed string, file_seq int, idx bigint, field_name string, kind string, came_from string, state string"
+_COMPARED = "feed string, file_seq int, idx bigint, field_name string, kind string, came_from string, state string, scale_exp int"
 
 
 def _compare(key, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -249,9 +260,11 @@ def _compare(key, pdf: pd.DataFrame) -> pd.DataFrame:
     old, new = read(True), read(False)
     a, b = columns(old), columns(new)
     moved = renames(old, new) if old else {}
-    rows = [(feed, seq, idx, f, kind_of(v), moved.get(f), "renamed" if f in moved else "same" if f in a or not old else "added") for f, v in b.items()]
-    rows += [(feed, seq, idx, f, None, None, "removed") for f in a if f not in b and f not in moved.values()] if new else []
-    return pd.DataFrame(rows, columns=["feed", "file_seq", "idx", "field_name", "kind", "came_from", "state"])
+    pairs = line_up(old, new) if moved else []
+    scale = {f: power(numeric([(canon(x.get(g)), canon(y.get(f))) for x, y in pairs])) for f, g in moved.items()}
+    rows = [(feed, seq, idx, f, kind_of(v), moved.get(f), "renamed" if f in moved else "same" if f in a or not old else "added", scale.get(f)) for f, v in b.items()]
+    rows += [(feed, seq, idx, f, None, None, "removed", None) for f in a if f not in b and f not in moved.values()] if new else []
+    return pd.DataFrame(rows, columns=["feed", "file_seq", "idx", "field_name", "kind", "came_from", "state", "scale_exp"]).astype({"scale_exp": "Int32"})
 
 
 def compared(files: DataFrame) -> DataFrame:
@@ -272,7 +285,10 @@ def compared(files: DataFrame) -> DataFrame:
 
 
 def changes(files: DataFrame) -> DataFrame:
-    """(feed, file_seq, field_name, change_kind, came_from): added, removed, renamed, retyped."""
+    """(feed, file_seq, field_name, change_kind, came_from, json_type, scale_exp): added, removed, renamed, retyped.
+
+    ``json_type`` is the field's type from here on; a renamed field's new values are the old ones x 10^scale_exp, null if the repeated records don't tell.
+    """
     # read by several joins below: the comparison, the one Python step, runs once
     c = written(compared(files), "drift")
     state = c.where("state <> 'removed'")
@@ -286,44 +302,129 @@ def changes(files: DataFrame) -> DataFrame:
     second = known(carried.drop("known", "was"))
     was = second.select("feed", (F.col("idx") + 1).alias("idx"), F.col("field_name").alias("prev_name"), F.col("known").alias("was"))
     typed = second.join(was, ["feed", "idx", "prev_name"], "left")
-    retyped = typed.where("idx > 1 and state <> 'added' and kind <> was").select("feed", "file_seq", "field_name", F.lit("retyped").alias("change_kind"), "came_from")
-    others = c.where("idx > 1 and state <> 'same'").select("feed", "file_seq", "field_name", F.col("state").alias("change_kind"), "came_from")
+    retyped = typed.where("idx > 1 and state <> 'added' and kind <> was").select("feed", "file_seq", "field_name", F.lit("retyped").alias("change_kind"), "came_from", F.col("kind").alias("json_type"), "scale_exp")
+    others = c.where("idx > 1 and state <> 'same'").select("feed", "file_seq", "field_name", F.col("state").alias("change_kind"), "came_from", F.col("kind").alias("json_type"), "scale_exp")
     return others.unionByName(retyped)
 
 
-def lineages(moves: list[tuple[str, str, str, int]]) -> dict[tuple[str, str], str]:
-    """{(venue, name): canonical name} from (venue, old name, new name, feeds) moves: names that ever followed one another are one column, called by its first name used most."""
-    parent: dict[tuple[str, str], tuple[str, str]] = {}
-    starts: dict[tuple[str, str], int] = {}
+Name = tuple[str, str]  # venue, field name
 
-    def root(x):
-        while parent.setdefault(x, x) != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
 
-    for venue, old, new, n in moves:
-        a, b = root((venue, old)), root((venue, new))
-        starts[(venue, old)] = starts.get((venue, old), 0) + n
-        parent[b] = a
-    groups: dict[tuple[str, str], list[tuple[str, str]]] = {}
-    for x in list(parent):
-        groups.setdefault(root(x), []).append(x)
-    return {x: max(g, key=lambda y: (starts.get(y, 0), y[1]))[1] for g in groups.values() for x in g}
+def lineages(moves: list[tuple[str, str, str, int, int | None]]) -> dict[Name, tuple[str, int]]:
+    """{(venue, name): (canonical name, power of ten)} from (venue, old name, new name, places, power of ten) moves.
 
+    Names that ever followed one another are one column, called by its first name used most, one that says dollars before others; a name's
+    values are the column's x 10^power. Of contradicting powers the one seen in most places holds, any known before an unknown one.
+    """
+    group: dict[Name, dict[Name, int]] = {}
+    starts: dict[Name, int] = {}
+    for venue, old, new, n, p in sorted(moves, key=lambda m: (m[4] is None, -m[3], m[:3], m[4] or 0)):
+        x, y = (venue, old), (venue, new)
+        starts[x] = starts.get(x, 0) + n
+        a, b = group.setdefault(x, {x: 0}), group.setdefault(y, {y: 0})
+        if a is not b:
+            by = a[x] + (p or 0) - b[y]
+            a.update({z: e + by for z, e in b.items()})
+            group.update({z: a for z in b})
+    out = {}
+    for x, g in group.items():
+        head = max(g, key=lambda y: (bool(_DOLLARS.search(y[1])), starts.get(y, 0), y[1]))
+        out[x] = (head[1], g[x] - g[head])
+    return out
 
-def unified(files: DataFrame, known: DataFrame | None = None, support: int = 1) -> DataFrame:
-    """(venue, rec_no, feed, file_seq, fields map<string,string>): every record under its venue's canonical column names, numbers and instants in one form.
 
-    ``known`` is a report of changes(); moves seen in fewer than ``support`` places don't merge names.
-    """
+_DOLLARS = re.compile(r"dollars|usd", re.I)
+_NUMERAL = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+_WHOLE = r"^\s*[+-]?\d+\s*$"
+_CODE = r"^\s*[+-]?(0\d.*|\d{19,}.*)$"  # leading zeros or more digits than a number holds: an identifier
+
+
+def profile(records: DataFrame) -> dict[Name, dict[str, int]]:
+    """Per venue and field name, how many values are written how; one aggregate, schema-sized."""
+    rows = records.select(F.coalesce("venue", F.lit("unknown")).alias("venue"), F.explode("entries").alias("e")).select("venue", F.col("e.key").alias("name"), F.col("e.value").alias("v"))
+    tests = {"numerals": F.col("v").rlike(_NUMERAL), "whole": F.col("v").rlike(_WHOLE), "codes": F.col("v").rlike(_CODE), "instants": F.trim("v").rlike(f"^(?:{_INSTANT.pattern})$"), "booleans": F.col("v").isin("true", "false")}
+    rows = rows.groupBy("venue", "name").agg(F.count("v").alias("n"), *[F.count_if(t).alias(k) for k, t in tests.items()])
+    return {(r["venue"], r["name"]): {k: r[k] for k in ("n", *tests)} for r in rows.collect()}
+
+
+def schema_of(seen: dict[Name, dict[str, int]], names: dict[Name, tuple[str, int]], most: float = 0.9) -> tuple[dict[Name, tuple[str, int]], dict[Name, str]]:
+    """({(venue, name): (column, power of ten)}, {(venue, column): SQL type}): a column has the type that ``most`` of its values can be read as, else it is text."""
+    members: dict[Name, list[Name]] = {}
+    for x in seen:
+        members.setdefault((x[0], names.get(x, (x[1], 0))[0]), []).append(x)
+    placed, types = {}, {}
+    for column, xs in members.items():
+        power_of = {x: names.get(x, (x[1], 0))[1] for x in xs}
+        s = {k: sum(seen[x][k] for x in xs) for k in seen[xs[0]]}
+        least = most * s["n"]
+        kind = "string"
+        if s["n"] and s["booleans"] >= least:
+            kind = "boolean"
+        elif s["n"] and s["instants"] >= 0.05 * s["n"] and s["instants"] + s["numerals"] >= least:
+            kind = "timestamp"
+            # the name with written-out instants counts in seconds
+            base = power_of[max(xs, key=lambda x: (seen[x]["instants"], x))]
+            power_of = {x: p - base for x, p in power_of.items()}
+        elif s["n"] and not s["codes"] and s["numerals"] >= least:
+            kind = "bigint" if s["whole"] == s["numerals"] and not any(power_of.values()) else "double"
+        types[column] = kind
+        placed |= {x: (column[1], power_of[x] if kind in ("timestamp", "double") else 0) for x in xs}
+    return placed, types
+
+
+def _read(value: Column, kind: Column, exp: Column) -> Column:
+    """``value`` in its column's one form, as text that casts to the column's type; null if it can't be read so."""
+    text = F.trim(value)
+    number = F.when(value.rlike(_NUMERAL), F.when(exp == 0, text.try_cast("double")).otherwise(F.round(text.try_cast("double") * F.pow(F.lit(10.0), -exp), 12)))
+    zoneless = text.rlike(r"^\d{4}-\d\d-\d\d[T ]\d\d:\d\d:\d\d(\.\d+)?$")
+    written_out = F.concat(text, F.when(zoneless, "Z").otherwise("")).try_cast("timestamp")
+    at = F.when(value.rlike(_NUMERAL), F.round(number * 1e6).try_cast("bigint")).otherwise(F.unix_micros(written_out))
+    return (
+        F.when(kind == "timestamp", stamps.utc_text(at))
+        .when(kind == "double", number.cast("string"))
+        .when(kind == "bigint", text.try_cast("bigint").cast("string"))
+        .when(kind == "boolean", F.when(text.isin("true", "false"), text))
+        .otherwise(value)
+    )
+
+
+def _unified(files: DataFrame, known: DataFrame | None, support: int) -> tuple[DataFrame, dict[Name, str]]:
     venues = files.select("feed", "venue").where("feed is not null and venue is not null").distinct()
     report = changes(files) if known is None else known
-    moves = report.where("change_kind = 'renamed'").join(venues, "feed").groupBy("venue", "came_from", "field_name").agg(F.count("*").alias("n")).where(F.col("n") >= support)
-    canonical = lineages([tuple(r) for r in moves.collect()])  # schema-sized
-    entries = [x for (venue, name), to in canonical.items() for x in (F.lit(f"{venue}|{name}"), F.lit(to))]
-    names = F.create_map(*entries) if entries else F.create_map(F.lit(""), F.lit(""))
-    flat = F.from_json("payload", "map<string,string>")
-    named: Column = F.transform(F.map_entries(flat), lambda e: F.struct(F.coalesce(F.try_element_at(names, F.concat(F.col("venue"), F.lit("|"), e["key"])), e["key"]).alias("key"), e["value"].alias("value")))
-    merged = F.map_from_entries(F.transform(F.array_distinct(F.transform(named, lambda e: e["key"])), lambda k: F.struct(k.alias("key"), F.filter(named, lambda e: e["key"] == k)[0]["value"].alias("value"))))
-    return files.where("payload is not null").select("venue", "rec_no", "feed", "file_seq", merged.alias("fields"))
+    moves = report.where("change_kind = 'renamed'").join(venues, "feed").groupBy("venue", "came_from", "field_name", "scale_exp").agg(F.count("*").alias("n"))
+    moves = moves.withColumn("places", F.sum("n").over(W.partitionBy("venue", "came_from", "field_name"))).where(F.col("places") >= support)
+    moves = [(r["venue"], r["came_from"], r["field_name"], r["n"], r["scale_exp"]) for r in moves.collect()]  # schema-sized
+    records = files.where("payload is not null").withColumn("entries", F.map_entries(F.from_json("payload", "map<string,string>")))
+    names, types = schema_of(profile(records), lineages(moves))
+    spec = {f"{venue}|{name}": (to, exp, types[venue, to]) for (venue, name), (to, exp) in names.items()}
+    entries = [x for k, (to, exp, kind) in spec.items() for x in (F.lit(k), F.struct(F.lit(to).alias("to"), F.lit(exp).alias("exp"), F.lit(kind).alias("kind")))]
+    known_as = F.create_map(*entries) if entries else F.lit(None).cast("map<string,struct<to:string,exp:int,kind:string>>")
+    placed = F.transform("entries", lambda e: F.struct(e["key"].alias("key"), e["value"].alias("raw"), F.try_element_at(known_as, F.concat(F.coalesce("venue", F.lit("unknown")), F.lit("|"), e["key"])).alias("as")))
+    read = F.transform("placed", lambda e: F.struct(e["as"]["to"].alias("key"), _read(e["raw"], e["as"]["kind"], e["as"]["exp"]).alias("value"), e["raw"].alias("raw")))
+    merged = F.map_from_entries(F.transform(F.array_distinct(F.transform("read", lambda e: e["key"])), lambda k: F.struct(k.alias("key"), F.filter("read", lambda e: e["key"] == k)[0]["value"].alias("value"))))
+    unread = F.map_from_entries(F.transform(F.filter("read", lambda e: e["value"].isNull() & e["raw"].isNotNull()), lambda e: F.struct(e["key"], e["raw"])))
+    rows = records.withColumn("placed", placed).withColumn("read", read)
+    return rows.select(F.coalesce("venue", F.lit("unknown")).alias("_v"), "venue", "rec_no", "feed", "file_seq", merged.alias("fields"), unread.alias("unread")), types
+
+
+def unified(files: DataFrame, known: DataFrame | None = None, support: int = 1) -> DataFrame:
+    """(venue, rec_no, feed, file_seq, fields map<string,string>, unread map<string,string>): every record under its venue's canonical column names.
+
+    Each value is in its column's one form: numbers in the column's unit, instants as ``YYYY-MM-DDTHH:MM:SS.ffffffZ``; one that can't be
+    read so is null there and stands as it was in ``unread``. ``known`` is a report of changes(); moves seen in fewer than ``support``
+    places don't merge names.
+    """
+    return _unified(files, known, support)[0].drop("_v")
+
+
+def tables(files: DataFrame, known: DataFrame | None = None, support: int = 1) -> DataFrame:
+    """unified() with one struct of typed columns per venue in place of ``fields``, null in other venues' rows; ``venue.*`` is that venue's table.
+
+    Types are bigint, double, timestamp, boolean, and string for the rest (identifiers of more than 18 digits too).
+    """
+    rows, types = _unified(files, known, support)
+    structs = [
+        F.when(F.col("_v") == v, F.struct(*[F.try_element_at("fields", F.lit(c)).try_cast(kind).alias(c) for (w, c), kind in sorted(types.items()) if w == v])).alias(v)
+        for v in sorted({v for v, _ in types})
+    ]
+    return rows.select("venue", "rec_no", "feed", "file_seq", *structs, "unread")

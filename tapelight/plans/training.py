@@ -16,8 +16,8 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p2_unified(spark: SparkSession, sf: str) -> DataFrame:
-    """All records of both venues under one schema, renamed fields joined."""
-    return drift.unified(table(spark, sf, "raw_files"))
+    """All records as one typed table per venue (a struct column each): renamed fields joined, in one unit and form."""
+    return drift.tables(table(spark, sf, "raw_files"))
 
 
 # -- p3: units ----------------------------------------------------------------

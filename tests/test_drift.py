@@ -56,6 +56,26 @@ def test_unified(spark):
     assert all(set(r.fields) == {"id", "price", "qty", "at"} for r in got) and len(got) == 10
 
 
+def test_unified_is_typed_in_one_unit(spark):
+    from datetime import datetime
+
+    epoch = lambda r: int(datetime.fromisoformat(r["at"]).timestamp())
+    code = lambda i: "9" * 40 + str(i)
+    a = [base(i) | {"price_dollars": base(i)["price"], "asset": code(i)} for i in range(6)]
+    b = [{"id": base(i)["id"], "cents": f"{100 * base(i)['price']:.4f}", "qty": f"{base(i)['qty']}.50", "ts": epoch(base(i)), "asset": int(code(i)), "price": base(i)["price"]} for i in range(3, 9)]
+    df = drift.tables(feed(spark, [a, b]))
+    assert dict(df.select("kalshi.*").dtypes) == {"id": "string", "price": "double", "price_dollars": "double", "qty": "double", "at": "timestamp", "asset": "string"}
+    rows = df.selectExpr("file_seq", "kalshi.*", "string(kalshi.at) as t").orderBy("file_seq", "id").collect()
+    assert [(r.price_dollars, r.t, r.asset) for r in rows] == [(base(i)["price"], base(i)["at"].replace("T", " ")[:-1], code(i)) for k in ((0, 6), (3, 9)) for i in range(*k)]
+    assert [r.qty for r in rows] == [10.0 + i for i in range(6)] + [10.5 + i for i in range(3, 9)]
+
+
+def test_values_that_do_not_fit_the_type_stay(spark):
+    rows = [base(i) for i in range(20)] + [base(20) | {"price": "n/a"}]
+    got = [r for r in drift.tables(feed(spark, [rows])).collect() if r.unread]
+    assert [(r.kalshi.price, r.unread) for r in got] == [(None, {"price": "n/a"})]
+
+
 def test_assignment_is_optimal():
     import itertools
     import random
