@@ -310,11 +310,12 @@ def changes(files: DataFrame) -> DataFrame:
 Name = tuple[str, str]  # venue, field name
 
 
-def lineages(moves: list[tuple[str, str, str, int, int | None]]) -> dict[Name, tuple[str, int]]:
+def lineages(moves: list[tuple[str, str, str, int, int | None]], together: set[tuple[str, str, str]] = frozenset()) -> dict[Name, tuple[str, int]]:
     """{(venue, name): (canonical name, power of ten)} from (venue, old name, new name, places, power of ten) moves.
 
     Names that ever followed one another are one column, called by its first name used most, one that says dollars before others; a name's
     values are the column's x 10^power. Of contradicting powers the one seen in most places holds, any known before an unknown one.
+    Names that a record has both of, with values (``together``: venue and the two), are two columns: no move merges them, however long the way.
     """
     group: dict[Name, dict[Name, int]] = {}
     starts: dict[Name, int] = {}
@@ -322,7 +323,7 @@ def lineages(moves: list[tuple[str, str, str, int, int | None]]) -> dict[Name, t
         x, y = (venue, old), (venue, new)
         starts[x] = starts.get(x, 0) + n
         a, b = group.setdefault(x, {x: 0}), group.setdefault(y, {y: 0})
-        if a is not b:
+        if a is not b and not any((venue, v, w) in together or (venue, w, v) in together for _, v in a for _, w in b):
             by = a[x] + (p or 0) - b[y]
             a.update({z: e + by for z, e in b.items()})
             group.update({z: a for z in b})
@@ -347,6 +348,17 @@ def profile(records: DataFrame) -> dict[Name, dict[str, int]]:
     return {(r["venue"], r["name"]): {k: r[k] for k in ("n", *tests)} for r in rows.collect()}
 
 
+def side_by_side(records: DataFrame, moves: list[tuple]) -> set[tuple[str, str, str]]:
+    """(venue, name, name) of moved names of which one record has values of both; one aggregate, schema-sized."""
+    moved = sorted({n for m in moves for n in m[1:3]})
+    if not moved:
+        return set()
+    held = F.array_distinct(F.transform(F.filter("entries", lambda e: e["value"].isNotNull() & e["key"].isin(moved)), lambda e: e["key"]))
+    rows = records.groupBy("venue", F.array_sort(held).alias("held")).count().where(F.size("held") > 1)
+    rows = rows.select("venue", F.explode("held").alias("a"), "held").select("venue", "a", F.explode("held").alias("b")).where("a < b").distinct()
+    return {tuple(r) for r in rows.collect()}
+
+
 def schema_of(seen: dict[Name, dict[str, int]], names: dict[Name, tuple[str, int]], most: float = 0.9) -> tuple[dict[Name, tuple[str, int]], dict[Name, str]]:
     """({(venue, name): (column, power of ten)}, {(venue, column): SQL type}): a column has the type that ``most`` of its values can be read as, else it is text."""
     members: dict[Name, list[Name]] = {}
@@ -395,23 +407,26 @@ def _unified(files: DataFrame, known: DataFrame | None, support: int) -> tuple[D
     moves = moves.withColumn("places", F.sum("n").over(W.partitionBy("venue", "came_from", "field_name"))).where(F.col("places") >= support)
     moves = [(r["venue"], r["came_from"], r["field_name"], r["n"], r["scale_exp"]) for r in moves.collect()]  # schema-sized
     records = files.where("payload is not null").withColumn("entries", F.map_entries(F.from_json("payload", "map<string,string>")))
-    names, types = schema_of(profile(records), lineages(moves))
+    names, types = schema_of(profile(records), lineages(moves, side_by_side(records, moves)))
     spec = {f"{venue}|{name}": (to, exp, types[venue, to]) for (venue, name), (to, exp) in names.items()}
     entries = [x for k, (to, exp, kind) in spec.items() for x in (F.lit(k), F.struct(F.lit(to).alias("to"), F.lit(exp).alias("exp"), F.lit(kind).alias("kind")))]
     known_as = F.create_map(*entries) if entries else F.lit(None).cast("map<string,struct<to:string,exp:int,kind:string>>")
     placed = F.transform("entries", lambda e: F.struct(e["key"].alias("key"), e["value"].alias("raw"), F.try_element_at(known_as, F.concat(F.coalesce("venue", F.lit("unknown")), F.lit("|"), e["key"])).alias("as")))
-    read = F.transform("placed", lambda e: F.struct(e["as"]["to"].alias("key"), _read(e["raw"], e["as"]["kind"], e["as"]["exp"]).alias("value"), e["raw"].alias("raw")))
-    merged = F.map_from_entries(F.transform(F.array_distinct(F.transform("read", lambda e: e["key"])), lambda k: F.struct(k.alias("key"), F.filter("read", lambda e: e["key"] == k)[0]["value"].alias("value"))))
-    unread = F.map_from_entries(F.transform(F.filter("read", lambda e: e["value"].isNull() & e["raw"].isNotNull()), lambda e: F.struct(e["key"], e["raw"])))
-    rows = records.withColumn("placed", placed).withColumn("read", read)
-    return rows.select(F.coalesce("venue", F.lit("unknown")).alias("_v"), "venue", "rec_no", "feed", "file_seq", merged.alias("fields"), unread.alias("unread")), types
+    read = F.transform("placed", lambda e: F.struct(e["as"]["to"].alias("key"), _read(e["raw"], e["as"]["kind"], e["as"]["exp"]).alias("value"), e["raw"].alias("raw"), e["key"].alias("name")))
+    # of several values for a column the first that can be read
+    value_of = lambda k: F.get(F.filter("read", lambda e: (e["key"] == k) & e["value"].isNotNull()), F.lit(0))["value"]
+    fields = F.map_from_entries(F.transform(F.array_distinct(F.transform("read", lambda e: e["key"])), lambda k: F.struct(k.alias("key"), value_of(k).alias("value"))))
+    lost = F.filter("read", lambda e: e["raw"].isNotNull() & ~e["value"].eqNullSafe(F.try_element_at("fields", e["key"])) | (e["raw"].isNotNull() & e["value"].isNull()))
+    unread = F.transform(lost, lambda e: F.struct(e["name"].alias("field_name"), e["raw"].alias("value")))
+    rows = records.withColumn("placed", placed).withColumn("read", read).withColumn("fields", fields)
+    return rows.select(F.coalesce("venue", F.lit("unknown")).alias("_v"), "venue", "rec_no", "feed", "file_seq", "fields", unread.alias("unread")), types
 
 
 def unified(files: DataFrame, known: DataFrame | None = None, support: int = 1) -> DataFrame:
-    """(venue, rec_no, feed, file_seq, fields map<string,string>, unread map<string,string>): every record under its venue's canonical column names.
+    """(venue, rec_no, feed, file_seq, fields map<string,string>, unread array<struct<field_name,value>>): every record under its venue's canonical column names.
 
     Each value is in its column's one form: numbers in the column's unit, instants as ``YYYY-MM-DDTHH:MM:SS.ffffffZ``; one that can't be
-    read so is null there and stands as it was in ``unread``. ``known`` is a report of changes(); moves seen in fewer than ``support``
+    read so, or clashes with another value of its record, stands as it was in ``unread``. ``known`` is a report of changes(); moves seen in fewer than ``support``
     places don't merge names.
     """
     return _unified(files, known, support)[0].drop("_v")

@@ -73,7 +73,24 @@ def test_unified_is_typed_in_one_unit(spark):
 def test_values_that_do_not_fit_the_type_stay(spark):
     rows = [base(i) for i in range(20)] + [base(20) | {"price": "n/a"}]
     got = [r for r in drift.tables(feed(spark, [rows])).collect() if r.unread]
-    assert [(r.kalshi.price, r.unread) for r in got] == [(None, {"price": "n/a"})]
+    assert [(r.kalshi.price, r.unread) for r in got] == [(None, [("price", "n/a")])]
+
+
+def test_two_names_of_one_column_in_a_record(spark):
+    a = [base(i) for i in range(5)]
+    swap = lambda i: {"uid": base(i)["id"], **{k: v for k, v in base(i).items() if k != "id"}}
+    b = [swap(i) for i in range(3, 8)]
+    # the old name stays on as a null: one column, the value is kept
+    late = [{"id": None} | swap(9)]
+    got = drift.unified(feed(spark, [a, b]).unionByName(feed(spark, [late], "g"))).where("feed = 'g'").collect()
+    assert [(r.fields["id"], r.unread) for r in got] == [(base(9)["id"], [])]
+    # both with values: two columns
+    late = [{"id": "other"} | swap(9)]
+    got = drift.unified(feed(spark, [a, b]).unionByName(feed(spark, [late], "g"))).where("feed = 'g'").collect()
+    assert [(r.fields["id"], r.fields["uid"]) for r in got] == [("other", base(9)["id"])]
+    # a key twice in one object: the first stands, the other is reported
+    got = drift.unified(feed(spark, [['{"x": 1, "x": 2}']])).collect()
+    assert [(r.fields, r.unread) for r in got] == [({"x": "1"}, [("x", "2")])]
 
 
 def test_assignment_is_optimal():
