@@ -6,7 +6,8 @@ Both sides are bouts: two names each and one or more dates. The steps:
    chosen to be rare: the first letters of one token of each fighter with the
    day (a market's day and the ones around it), and a whole name token with
    the day; bouts without any date share the first letters alone. An edge
-   weighs the sum of log(N / document frequency) over what it shares.
+   weighs the sum of log(N / document frequency) over what it shares, N being
+   the bouts of both sides.
 2. Meta-blocking: an edge stays if it is at least the mean of the edges of
    either of its ends, so a bout is compared with few others.
 3. Similarity of the names, fighter by fighter in the better of both orders:
@@ -150,13 +151,14 @@ def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
     a = left.select(F.col("id").alias("k"), F.explode("attrs").alias("attr"))
     b = right.select(F.col("id").alias("p"), F.explode("attrs").alias("attr"))
     seen = a.select("attr", F.lit(1).alias("one")).unionByName(b.select("attr", F.lit(1).alias("one"))).groupBy("attr").agg(F.count("*").alias("df"))
-    edges = a.join(b, "attr").join(seen, "attr").groupBy("k", "p").agg(F.sum(F.log(F.lit(1e9) / F.col("df"))).alias("weight"))
+    bouts_of_both = left.select("id").unionAll(right.select("id")).agg(F.count("*").alias("n"))  # one row
+    edges = a.join(b, "attr").join(seen, "attr").crossJoin(F.broadcast(bouts_of_both)).groupBy("k", "p").agg(F.sum(F.log(F.col("n") / F.col("df"))).alias("weight"))
     # weighted node pruning, kept if either end keeps it
     mean = lambda c: F.avg("weight").over(Window.partitionBy(c))
     return edges.withColumns({"mk": mean("k"), "mp": mean("p")}).where("weight >= mk or weight >= mp").select("k", "p", "weight")
 
 
-def link(left: DataFrame, right: DataFrame, least: float = 0.5, days: int = 2, pull: float = 0.3, epsilon: float = 0.01, rounds: int = 5) -> DataFrame:
+def link(left: DataFrame, right: DataFrame, least: float = 0.5, days: int = 2, pull: float = 0.3, epsilon: float = 0.01, rounds: int = 50) -> DataFrame:
     """(k, p, confidence): each right bout's match among the left ones, if it has one; a left bout may have several."""
     l, r = (written(x, "bouts") for x in (left, right))
     edges = candidates(l, r).join(l.select(F.col("id").alias("k"), F.col("names").alias("kn"), F.col("days").alias("kd")), "k").join(r.select(F.col("id").alias("p"), F.col("names").alias("pn"), F.col("days").alias("pd")), "p")
@@ -180,5 +182,7 @@ def link(left: DataFrame, right: DataFrame, least: float = 0.5, days: int = 2, p
         edges = e.drop("moved")
         if moved is None or moved <= epsilon:
             break
+    else:
+        raise RuntimeError(f"propagation still moves by {moved} after {rounds} rounds")
     order = Window.partitionBy("p").orderBy(F.desc("x"), F.asc_nulls_last("apart"), "k")
     return edges.withColumn("_n", F.row_number().over(order)).where((F.col("_n") == 1) & (F.col("x") >= least)).select("k", "p", F.round("x", 4).alias("confidence"))

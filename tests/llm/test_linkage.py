@@ -39,3 +39,14 @@ def test_link(spark):
     assert all(0.5 <= c <= 1 for c in got.values())
     none = linkage.link(linkage.bouts(left.where("false"), 2), linkage.bouts(right, 0))
     assert none.count() == 0
+
+
+def test_weight_counts_bouts_and_propagation_ends_or_fails(spark):
+    import math
+
+    side = lambda rows: spark.createDataFrame([(i, ["anna", "bert"], [1], attrs) for i, attrs in rows], "id string, names array<string>, days array<bigint>, attrs array<string>")
+    left, right = side([("k1", ["x", "y"]), ("k2", ["y"])]), side([("p1", ["x", "y"])])
+    got = {(r.k, r.p): r.weight for r in linkage.candidates(left, right).collect()}
+    assert got[("k1", "p1")] == pytest.approx(math.log(3 / 2) + math.log(3 / 3))
+    with pytest.raises(RuntimeError, match="propagation"):
+        linkage.link(left, right, epsilon=-1.0, rounds=2)
