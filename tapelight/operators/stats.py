@@ -146,6 +146,13 @@ def permutation(df: DataFrame, x: str, y: str, entity: str, order: str, reps: in
     return both.groupBy("rep").agg((F.covar_samp("x", "y") / F.nullif(F.var_samp("x"), F.lit(0.0))).alias("slope"))
 
 
+def permutation_p(df: DataFrame, x: str, y: str, entity: str, order: str, reps: int = 2000, seed: int = 7) -> DataFrame:
+    """The pooled slope and its two-sided permutation p-value, (1 + replications at least as far from 0) / (1 + replications)."""
+    seen = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).agg((F.covar_samp(x, y) / F.nullif(F.var_samp(x), F.lit(0.0))).alias("observed"))
+    null = permutation(df, x, y, entity, order, reps, seed).crossJoin(F.broadcast(seen))  # one row
+    return null.agg(F.count("slope").alias("reps"), F.max("observed").alias("slope"), ((1 + F.count_if(F.abs("slope") >= F.abs("observed") - 1e-12)) / (1 + F.count("slope"))).alias("p"))
+
+
 @F.pandas_udf(T.DoubleType())
 def _two_sided(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for t in batches:

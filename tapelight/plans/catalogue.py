@@ -654,3 +654,29 @@ def q74_crosswalk_rules(spark, sf):
     j = asof.band_join(fk, fp, "d", "pd", 1).withColumn("overlap_count", X.overlap(F.col("a"), F.col("b"))).where("overlap_count >= 1")
     best = match.first_per(j, ["fight_id"], [F.desc("overlap_count"), F.desc_nulls_last("pm_volume"), F.col("pm_id")])
     return best.select("fight_id", "pm_id", "overlap_count", F.when(F.col("overlap_count") >= 2, "HIGH").otherwise("LOW").alias("match_confidence"))
+
+
+# -- the survey's full parameters of q12, q18 and q51 -------------------------
+_FAR = _RET + ", far AS (SELECT *, lead(last,4) OVER w - lead(last,3) OVER w AS dp_4, lead(last,5) OVER w - lead(last,4) OVER w AS dp_5 FROM z WINDOW w AS (PARTITION BY ticker ORDER BY bar))"
+
+
+@query("WITH " + _FAR + ", l AS (" + " UNION ALL ".join(f"SELECT {k} AS lag, ticker, ofi_z AS x, dp_{k} AS y FROM far" for k in range(1, 6)) + """), d AS (SELECT lag, x - avg(x) OVER w AS xd, y - avg(y) OVER w AS yd FROM l WHERE x IS NOT NULL AND y IS NOT NULL WINDOW w AS (PARTITION BY lag, ticker))
+ SELECT lag, count(*) AS n, round(sum(xd*yd)/sum(xd*xd),8) AS beta FROM d GROUP BY lag""")
+def q75_lag_structure_1_to_5(spark, sf):
+    r = bars.zscore(bars.forward_returns(_ofi(spark, sf), steps=5), "ofi", "ofi_z")
+    long = r.select("ticker", F.col("ofi_z").alias("x"), F.explode(F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"dp_{k}").alias("y")) for k in range(1, 6)])).alias("e")).select("ticker", "x", "e.*").where("x is not null and y is not null")
+    w = Window.partitionBy("lag", "ticker")
+    d = long.select("lag", (F.col("x") - F.avg("x").over(w)).alias("xd"), (F.col("y") - F.avg("y").over(w)).alias("yd"))
+    return d.groupBy("lag").agg(F.count("*").alias("n"), F.round(F.sum(F.col("xd") * F.col("yd")) / F.sum(F.col("xd") * F.col("xd")), 8).alias("beta"))
+
+
+@query("WITH " + _CO + ", c AS (SELECT * FROM co WHERE dk IS NOT NULL AND dp IS NOT NULL), l AS (" + " UNION ALL ".join(f"SELECT fight, {k} AS lag, dk, {'lead' if k >= 0 else 'lag'}(dp, {abs(k)}) OVER (PARTITION BY fight ORDER BY bar) AS v FROM c" for k in range(-6, 7)) + """),
+ e AS (SELECT fight, lag, count(*) n, corr(dk,v) rho, stddev_samp(dk) s1, stddev_samp(v) s2 FROM l WHERE v IS NOT NULL GROUP BY ALL) SELECT lag, count(*) AS entities, round(tanh(avg(atanh(greatest(-0.9999,least(0.9999,rho))))),6) AS rho FROM e WHERE n>=15 AND s1>=1e-12 AND s2>=1e-12 GROUP BY lag""")
+def q76_ccf_by_lag_6(spark, sf):
+    return rounded(eventstudy.ccf(_co(spark, sf), range(-6, 7)), "rho")
+
+
+@query("WITH " + _RET + """, d AS (SELECT ticker, bar, ofi_z x, dp_1 y, row_number() OVER (PARTITION BY ticker ORDER BY bar) pos FROM z WHERE ofi_z IS NOT NULL AND dp_1 IS NOT NULL), r AS (SELECT rep, d.*, md5(rep||'|'||bar||'|7') h FROM d, (SELECT unnest(range(2000)) rep)), s AS (SELECT rep, ticker, row_number() OVER (PARTITION BY rep, ticker ORDER BY h) pos, y FROM r),
+ n AS (SELECT r.rep, covar_samp(r.x, s.y)/var_samp(r.x) AS slope FROM r JOIN s USING (rep, ticker, pos) GROUP BY r.rep), o AS (SELECT covar_samp(x, y)/var_samp(x) AS observed FROM d) SELECT count(slope) AS reps, round(max(observed),8) AS slope, round((1 + count_if(abs(slope) >= abs(observed) - 1e-12))/(1 + count(slope)),8) AS p FROM n, o""")
+def q77_permutation_p(spark, sf):
+    return rounded(stats.permutation_p(_ret(spark, sf), "ofi_z", "dp_1", "ticker", "bar"), "slope", "p", digits=8)
