@@ -680,3 +680,13 @@ def q76_ccf_by_lag_6(spark, sf):
  n AS (SELECT r.rep, covar_samp(r.x, s.y)/var_samp(r.x) AS slope FROM r JOIN s USING (rep, ticker, pos) GROUP BY r.rep), o AS (SELECT covar_samp(x, y)/var_samp(x) AS observed FROM d) SELECT count(slope) AS reps, round(max(observed),8) AS slope, round((1 + count_if(abs(slope) >= abs(observed) - 1e-12))/(1 + count(slope)),8) AS p FROM n, o""")
 def q77_permutation_p(spark, sf):
     return rounded(stats.permutation_p(_ret(spark, sf), "ofi_z", "dp_1", "ticker", "bar"), "slope", "p", digits=8)
+
+
+@query("""WITH d AS (SELECT o_orderpriority AS series, min(CAST(o_orderdate AS DATE)) AS d FROM orders WHERE o_orderpriority IS NOT NULL AND o_orderdate IS NOT NULL GROUP BY o_orderpriority, date_trunc('month', CAST(o_orderdate AS DATE)))
+ SELECT series, epoch_us(make_timestamp(year(d), month(d), day(d), 8, 30, 0) AT TIME ZONE 'America/New_York')//1000000 AS release_utc FROM d""")
+def q78_release_calendar_orders(spark, sf):
+    """Monthly releases by priority from orders: the month's first order date at 08:30 in New York."""
+    o = table(spark, sf, "orders").where("o_orderpriority is not null and o_orderdate is not null").select(F.col("o_orderpriority").alias("series"), F.to_date("o_orderdate").alias("d"))
+    o = o.groupBy("series", F.trunc("d", "month").alias("m")).agg(F.min("d").alias("d"))
+    wall = F.make_timestamp(F.year("d"), F.month("d"), F.day("d"), F.lit(8), F.lit(30), F.lit(0))
+    return o.select("series", F.unix_seconds(F.to_utc_timestamp(wall, "America/New_York")).alias("release_utc"))
