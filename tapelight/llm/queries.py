@@ -44,7 +44,7 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p7_containers(spark: SparkSession, sf: str) -> DataFrame:
     """Every text or piece of one with its container of 2,048 tokens."""
-    return packing.packed(table(spark, sf, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
+    return packing.packed(table(spark, sf, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
 
 
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
