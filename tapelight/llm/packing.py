@@ -137,7 +137,7 @@ def repeats(counts: dict[int, int], capacity: int, window: int, depth: int, tole
         known = set(shapes)
 
 
-def plan(histogram: dict[int, int], capacity: int = 2048, window: int = 8, depth: int = 3, tolerance: float = 1e-3) -> list[tuple[tuple[int, ...], int]]:
+def plan(histogram: dict[int, int], capacity: int = 2048, window: int = 2, depth: int = 3, tolerance: float = 1e-3) -> list[tuple[tuple[int, ...], int]]:
     """[(lengths of a container, repeats)] that uses every item of the histogram once."""
     left = {n: c for n, c in histogram.items() if 0 < n <= capacity and c > 0}
     out: list[tuple[tuple[int, ...], int]] = []
@@ -258,7 +258,7 @@ def measured(documents: DataFrame, tokenizer: str, capacity: int) -> DataFrame:
     return documents.where(F.col("text").isNotNull() & (F.col("text") != "")).select("doc_id", "text").mapInPandas(run, "doc_id bigint, piece int, length int")
 
 
-def packed(documents: DataFrame, tokenizer: str, capacity: int = 2048, window: int = 8, depth: int = 3) -> DataFrame:
+def packed(documents: DataFrame, tokenizer: str, capacity: int = 2048, window: int = 2, depth: int = 3) -> DataFrame:
     """(doc_id, piece, length, container) for every text or piece of one."""
     spark = documents.sparkSession
     items = measured(documents, tokenizer, capacity).withColumns({"part": F.spark_partition_id(), "at": F.monotonically_increasing_id()})
