@@ -137,22 +137,9 @@ def repeats(counts: dict[int, int], capacity: int, window: int, depth: int, tole
         known = set(shapes)
 
 
-def plan(histogram: dict[int, int], capacity: int = 2048, window: int = 2, depth: int = 3, tolerance: float = 1e-3) -> list[tuple[tuple[int, ...], int]]:
-    """[(lengths of a container, repeats)] that uses every item of the histogram once."""
-    left = {n: c for n, c in histogram.items() if 0 < n <= capacity and c > 0}
-    out: list[tuple[tuple[int, ...], int]] = []
-    if left.get(capacity):
-        out.append(((capacity,), left.pop(capacity)))
-    if left:
-        shapes, x, _ = repeats(left, capacity, window, depth, tolerance)
-        for j in np.argsort(-x, kind="stable"):
-            c = shapes[int(j)]
-            k = min([int(x[j] + 0.5)] + [left.get(n, 0) // c.count(n) for n in set(c)])
-            if k > 0:
-                out.append((c, k))
-                for n in c:
-                    left[n] -= k
-    left = {n: c for n, c in left.items() if c > 0}
+def greedy(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """Containers filled one kind after another: longest item first, each time the longest that still fits."""
+    left, out = {n: c for n, c in counts.items() if c > 0}, []
     have = sorted(left)
     while have:
         room, picked, used = capacity, [], {}
@@ -179,6 +166,30 @@ def plan(histogram: dict[int, int], capacity: int = 2048, window: int = 2, depth
     return out
 
 
+def plan(histogram: dict[int, int], capacity: int = 2048, window: int = 2, depth: int = 3, tolerance: float = 1e-3) -> list[tuple[tuple[int, ...], int]]:
+    """[(lengths of a container, repeats)] that uses every item of the histogram once.
+
+    Where few combinations fill a container (lengths far apart), packing all items greedily can need fewer containers; then that is the plan.
+    """
+    left = {n: c for n, c in histogram.items() if 0 < n <= capacity and c > 0}
+    out: list[tuple[tuple[int, ...], int]] = []
+    if left.get(capacity):
+        out.append(((capacity,), left.pop(capacity)))
+    if left:
+        shapes, x, _ = repeats(left, capacity, window, depth, tolerance)
+        for j in np.argsort(-x, kind="stable"):
+            c = shapes[int(j)]
+            k = min([int(x[j] + 0.5)] + [left.get(n, 0) // c.count(n) for n in set(c)])
+            if k > 0:
+                out.append((c, k))
+                for n in c:
+                    left[n] -= k
+        out += greedy(left, capacity)
+        alone = greedy({n: c for n, c in histogram.items() if 0 < n <= capacity and c > 0}, capacity)
+        out = min(out, alone, key=lambda made: sum(k for _, k in made))
+    return out
+
+
 def slots(made: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[list[int], list[tuple[int, int, int]]]]:
     """Per length: the first item numbers of its runs, and each run's (first container, items per container, position)."""
     out: dict[int, tuple[list[int], list[tuple[int, int, int]]]] = {}
