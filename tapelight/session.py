@@ -50,7 +50,26 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def written(df, name: str):
-    """Cut lineage: write ``df`` once to the shared folder and read it back."""
+    """Cut lineage: write ``df`` once to the shared folder and read it back; discard() deletes what no plan needs any more."""
     at = scratch(df.sparkSession, name)
     df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+    out = df.sparkSession.read.schema(df.schema).parquet(at)
+    out._written_at = at
+    return out
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder on whatever file system it lies."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def discard(*written_ones) -> None:
+    """Delete the folders behind results of written(), once nothing reads them."""
+    for df in written_ones:
+        delete(df.sparkSession, df._written_at)
+
+
+def spread(df, by: str):
+    """``df`` over a task per core by hash of ``by``: few rows that cost much each (Python steps) would else be coalesced into one task."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, by)
