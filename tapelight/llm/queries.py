@@ -29,7 +29,7 @@ def _bouts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     closing = F.unix_date(F.to_date(F.col("end_date") - F.expr("interval 20 hours")))
     days = F.when(F.size(stated) > 0, stated).otherwise(F.array_compact(F.array(closing)))
     right = fp.select(F.col("pm_id").alias("id"), F.array("fighters_pm", "outcomes").alias("lists"), F.array("question", F.regexp_replace(F.regexp_replace("pm_slug", r"^(will|ufc)-|-in-mma-bout.*$", ""), "-(vs|beat)-", " vs ")).alias("titles"), F.transform(days, lambda d: d.cast("bigint")).alias("days"))
-    return linkage.bouts(left, around=2), linkage.bouts(right, around=0)
+    return linkage.bouts(left, around=1, moved=21), linkage.bouts(right, around=0)
 
 
 def p1_matches(spark: SparkSession, sf: str) -> DataFrame:
