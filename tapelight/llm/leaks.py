@@ -15,9 +15,9 @@ bucket keyed by the hash of the last characters selects test strings, and
 direct comparison, then a check that the match starts and ends at word
 boundaries of the document, confirms an occurrence.
 
-The tables come from the held-out set, whose size is fixed and checked
-(``max_items``); they are broadcast, and documents are searched where they
-are: no shuffle, whole texts, one pass, memory of one document.
+The tables come from the held-out set, ``block`` items at a time; they are
+broadcast, and documents are searched where they are: no shuffle, whole
+texts, one pass a block, memory of one document.
 
 Defined results: null and blank texts and items shorter than ``words`` match
 nothing; an item text that occurs twice reports both items.
@@ -25,7 +25,9 @@ nothing; an item text that occurs twice reports both items.
 
 from __future__ import annotations
 
+import functools
 import html
+import itertools
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -129,19 +131,32 @@ class Tables:
         return found
 
 
-def leaked(documents: DataFrame, items: DataFrame, words: int = 12, max_items: int = 100_000) -> DataFrame:
-    """(doc_id, item_id) of every document that shares ``words`` consecutive words with an item."""
+def blocks(rows: Iterator, size: int) -> Iterator[list]:
+    """Lists of up to ``size`` rows."""
+    while block := list(itertools.islice(rows, size)):
+        yield block
+
+
+def leaked(documents: DataFrame, items: DataFrame, words: int = 12, block: int = 100_000) -> DataFrame:
+    """(doc_id, item_id) of every document that shares ``words`` consecutive words with an item.
+
+    ``block`` bounds the items whose tables are broadcast at a time; more items are searched block after block, each over all documents.
+    """
     spark = documents.sparkSession
-    rows = items.select("item_id", "text").where(F.col("text").isNotNull()).limit(max_items + 1).collect()
-    if len(rows) > max_items:
-        raise ValueError(f"more than {max_items} items: search them in blocks of that many")
-    tables = spark.sparkContext.broadcast(Tables([(r[0], r[1]) for r in rows], words))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        t = tables.value
-        for b in batches:
-            out = [(d, x) for d, text in zip(b["doc_id"], b["text"]) for x in sorted(t.search(text))]
-            yield pd.DataFrame(out, columns=["doc_id", "item_id"], dtype="int64")
-
-    rows = documents.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text")
-    return rows.mapInPandas(run, "doc_id bigint, item_id bigint")
+    texts = documents.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text")
+    wanted = ((r[0], r[1]) for r in items.select("item_id", "text").where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).toLocalIterator())
+
+    def search(some: list[tuple[int, str]]) -> DataFrame:
+        tables = spark.sparkContext.broadcast(Tables(some, words))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            t = tables.value
+            for b in batches:
+                out = [(d, x) for d, text in zip(b["doc_id"], b["text"]) for x in sorted(t.search(text))]
+                yield pd.DataFrame(out, columns=["doc_id", "item_id"], dtype="int64")
+
+        return texts.mapInPandas(run, "doc_id bigint, item_id bigint")
+
+    found = [search(b) for b in blocks(wanted, block)] or [search([])]
+    # an id on several rows may come in several blocks
+    return functools.reduce(DataFrame.unionAll, found).distinct() if len(found) > 1 else found[0]

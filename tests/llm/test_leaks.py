@@ -47,5 +47,5 @@ def test_frame_and_odd_rows(spark):
     assert {tuple(r) for r in leaks.leaked(docs, items).collect()} == {(1, 7), (1, 8), (5, 7), (5, 8)}
     assert leaks.leaked(docs.where("false"), items).count() == 0
     assert leaks.leaked(docs, items.where("false")).count() == 0
-    with pytest.raises(ValueError):
-        leaks.leaked(docs, items, max_items=1)
+    # more items than a block holds are searched block after block
+    assert sorted(tuple(r) for r in leaks.leaked(docs, items, block=1).collect()) == [(1, 7), (1, 8), (5, 7), (5, 8)]
