@@ -139,7 +139,7 @@ def _hex_sql(c: str) -> str:
 
 _MESSAGES = f"""messages AS (SELECT 'tape_live' AS tape, {_hex_sql('trade_id')} AS k, delivery_id, fetched_at FROM tape_live UNION ALL SELECT 'tape_archive', {_hex_sql('trade_id')}, delivery_id, fetched_at FROM tape_archive
  UNION ALL SELECT 'pm_trades', CAST(TRY_CAST(trim(market_id) AS DOUBLE) AS BIGINT)::VARCHAR || '|' || {_hex_sql('tx_hash')} || '|' || log_index, delivery_id, fetched_at FROM pm_trades),
- ranked AS (SELECT *, row_number() OVER (PARTITION BY tape, k ORDER BY fetched_at NULLS LAST, delivery_id) AS rn FROM messages WHERE k IS NOT NULL)"""
+ ranked AS (SELECT *, row_number() OVER (PARTITION BY tape, k, CASE WHEN k IS NULL THEN delivery_id END ORDER BY fetched_at NULLS LAST, delivery_id) AS rn FROM messages)"""
 _PRICED = """priced AS (SELECT 'tape_archive' AS tape, ticker AS series_key, epoch_us(created_time)//300000000*300 AS bar FROM tape_archive WHERE yes_price IS NOT NULL AND ticker IS NOT NULL AND created_time IS NOT NULL
  UNION ALL SELECT 'tape_api', market_id, epoch_us(ts_utc)//300000000*300 FROM tape_api WHERE price_yes IS NOT NULL AND NOT isnan(price_yes) AND market_id IS NOT NULL AND ts_utc IS NOT NULL),
  span AS (SELECT tape, series_key, min(bar) lo, max(bar) hi FROM priced GROUP BY ALL), grid AS (SELECT tape, series_key, unnest(generate_series(lo, hi, 300)) AS bar_s FROM span)"""
