@@ -1,7 +1,8 @@
 """Schemas that drift between files: every field change reported, all records read into one table.
 
-Each file of a feed is compared with the one before it. Both files' columns
-are profiled (JSON types, null share, value sketch, name). Renames are found
+Each file of a feed is compared with the one before it. Columns are
+profiled in parts that add up (JSON types, share of numbers, magnitude, text
+length, smallest value hashes), so no task holds a file. Renames are found
 by bipartite matching between the fields that vanished and those that
 appeared: an edge's weight is the agreement of the values themselves where
 the newer file repeats records of the older one (the records are lined up by
@@ -13,9 +14,11 @@ assignment (Hungarian method) keeps only edges above a threshold.
 Types carry on from file to file in windows over the profiles: a file with
 only nulls keeps the type known before, a field that returns is only added.
 
-Scale: records are grouped by (feed, file), a group is two small files
-however large a feed is, and the windows per feed and field run over one row
-per file. Field-name lineages (schema-sized) are joined on the driver.
+Scale: only files of which fields vanished and appeared send records on, and
+only those that share a telling value (one of at most four records a side)
+with the other file, found by equality of value hashes; lining them up is
+linear in them. Windows per feed and field run over one row per file.
+Field-name lineages (schema-sized) are joined on the driver.
 
 Defined results: records without feed, file number or payload, and payloads
 that aren't one JSON object, are left out of the comparison; a feed's first
@@ -24,12 +27,16 @@ file has no changes; an empty table gives an empty report.
 
 from __future__ import annotations
 
+import functools
+import itertools
 import json
 import math
 import re
+from collections.abc import Iterator
 from datetime import datetime
 
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -55,16 +62,6 @@ def kind(v) -> str | None:
     return {str: "string", int: "integer", float: "number", list: "array", dict: "object"}[type(v)]
 
 
-def kind_of(values: list) -> str | None:
-    """Type of a field in a file: number if any value has a decimal point, else the most frequent type."""
-    kinds = [k for k in map(kind, values) if k]
-    if not kinds:
-        return None
-    if "number" in kinds and set(kinds) <= {"number", "integer"}:
-        return "number"
-    return max(sorted(set(kinds)), key=kinds.count)
-
-
 _INSTANT = re.compile(r"\d{4}-\d\d-\d\d[T ]\d\d:\d\d:\d\d(?:\.\d+)?(?:Z|[+-]\d\d:?\d\d)?")
 
 
@@ -118,23 +115,17 @@ def agreement(old: list, new: list) -> float | None:
     return equal
 
 
-def sketch(values: list) -> tuple:
-    """A value sketch: type, length and magnitude summaries, and a bottom-k of value hashes."""
-    seen = [canon(v) for v in values if v is not None]
-    numbers = sorted(v[1] for v in seen if isinstance(v, tuple) and v[0] == "n")
-    texts = [v[1] for v in seen if isinstance(v, tuple) and v[0] == "s"]
-    mid = numbers[len(numbers) // 2] if numbers else None
-    bottom = sorted(hash(v) for v in set(map(str, seen)))[:16]
-    return (len(numbers) / max(1, len(seen)), math.log10(abs(mid) + 1e-9) if mid is not None else None, sum(map(len, texts)) / max(1, len(texts)), bottom)
+def magnitude(x: float) -> float:
+    return math.log10(abs(x) + 1e-9)
 
 
-def likeness(a: tuple, b: tuple) -> float:
-    """Similarity of two sketches in [0, 1]."""
-    numeric = 1 - abs(a[0] - b[0])
-    scale = 1 / (1 + abs(a[1] - b[1])) if a[1] is not None and b[1] is not None else 0.5
-    length = 1 - abs(a[2] - b[2]) / max(a[2], b[2], 1)
-    shared = len(set(a[3]) & set(b[3])) / max(1, min(len(a[3]), len(b[3])))
-    return 0.35 * numeric + 0.15 * scale + 0.2 * length + 0.3 * shared
+def likeness(a: dict, b: dict) -> float:
+    """Similarity of two value sketches in [0, 1]."""
+    share = lambda s: s["numeric"] / max(1, s["n"])
+    scale = 1 / (1 + abs(a["magnitude"] / a["numeric"] - b["magnitude"] / b["numeric"])) if a["numeric"] and b["numeric"] else 0.5
+    x, y = (s["chars"] / max(1, s["texts"]) for s in (a, b))
+    shared = len(set(a["bottom"]) & set(b["bottom"])) / max(1, min(len(a["bottom"]), len(b["bottom"])))
+    return 0.35 * (1 - abs(share(a) - share(b))) + 0.15 * scale + 0.2 * (1 - abs(x - y) / max(x, y, 1)) + 0.3 * shared
 
 
 def names_alike(a: str, b: str) -> float:
@@ -144,6 +135,18 @@ def names_alike(a: str, b: str) -> float:
     return len(x & y) / max(1, len(x | y))
 
 
+#: A value that more records of a file have tells nothing about which two are the same.
+TELLING = 4
+
+
+def _places(side: list[set]) -> dict:
+    out: dict = {}
+    for k, vs in enumerate(side):
+        for v in vs:
+            out.setdefault(v, []).append(k)
+    return out
+
+
 def line_up(old: list[dict], new: list[dict]) -> list[tuple[dict, dict]]:
     """Repeated records, lined up: the tail of the older file against the head of the newer one at the overlap where values agree best.
 
@@ -152,28 +155,35 @@ def line_up(old: list[dict], new: list[dict]) -> list[tuple[dict, dict]]:
     """
     values = lambda r: {v for v in map(canon, r.values()) if isinstance(v, tuple)}
     a, b = [values(r) for r in old], [values(r) for r in new]
+    places = lambda side: {v: ks for v, ks in _places(side).items() if len(ks) <= TELLING}
+    # every telling value that both sides have votes for the overlap at which its records meet
+    here, votes = places(a), {}
+    for v, js in places(b).items():
+        for i in here.get(v, ()):
+            for j in js:
+                k = len(a) - i + j
+                votes[k] = votes.get(k, 0) + 1
     best, size = 0.0, 0
-    for k in range(1, min(len(a), len(b)) + 1):
-        score = sum(len(x & y) / max(1, min(len(x), len(y))) - 0.4 for x, y in zip(a[-k:], b[:k]))
-        if score > best:
-            best, size = score, k
+    for k, n in sorted(votes.items()):
+        if 2 * n >= max(votes.values()) and k <= min(len(a), len(b)):
+            score = sum(len(x & y) / max(1, min(len(x), len(y))) - 0.4 for x, y in zip(a[-k:], b[:k]))
+            if score > best:
+                best, size = score, k
     if size:
         return list(zip(old[-size:], new[:size]))
-    where: dict = {}
-    for k, vs in enumerate(a):
-        for v in vs:
-            where.setdefault(v, []).append(k)
+    where = _places(a)
     spread: dict = {}
     for vs in b:
         for v in vs:
             spread[v] = spread.get(v, 0) + 1
-    votes: dict[tuple[int, int], float] = {}
+    shared: dict[tuple[int, int], float] = {}
     for j, vs in enumerate(b):
         for v in vs:
-            for k in where.get(v, ()):
-                votes[k, j] = votes.get((k, j), 0) + 1 / (len(where[v]) * spread[v])
+            if len(where.get(v, ())) <= TELLING and spread[v] <= TELLING:
+                for k in where.get(v, ()):
+                    shared[k, j] = shared.get((k, j), 0) + 1 / (len(where[v]) * spread[v])
     out, left, right = [], set(), set()
-    for (k, j), n in sorted(votes.items(), key=lambda x: (-x[1], x[0])):
+    for (k, j), n in sorted(shared.items(), key=lambda x: (-x[1], x[0])):
         if n >= 1.5 and k not in left and j not in right:
             left.add(k)
             right.add(j)
@@ -216,21 +226,8 @@ def assign(weights: list[list[float]]) -> list[tuple[int, int]]:
     return [(b, a) for a, b in out] if flip else out
 
 
-def columns(records: list[dict]) -> dict[str, list]:
-    out: dict[str, list] = {}
-    for r in records:
-        for f, v in r.items():
-            out.setdefault(f, []).append(v)
-    return out
-
-
-def renames(old: list[dict], new: list[dict], by_values: float = 0.75, by_sketch: float = 0.8) -> dict[str, str]:
-    """{new name: old name} between two files."""
-    a, b = columns(old), columns(new)
-    gone, come = sorted(set(a) - set(b)), sorted(set(b) - set(a))
-    if not gone or not come:
-        return {}
-    pairs = line_up(old, new)
+def renames(gone: dict[str, dict], come: dict[str, dict], pairs: list[tuple[dict, dict]], by_values: float = 0.75, by_sketch: float = 0.8) -> dict[str, str]:
+    """{new name: old name} between two files, from the sketches of fields that vanished and appeared and the repeated records."""
     weights = []
     for g in gone:
         row = []
@@ -243,45 +240,132 @@ def renames(old: list[dict], new: list[dict], by_values: float = 0.75, by_sketch
             else:
                 # no repeated record has both values: a value that was there and is gone, or the other way, speaks against
                 one_sided = sum((x is None) != (y is None) for x, y in both)
-                s = likeness(sketch(a[g]), sketch(b[c]))
+                s = likeness(gone[g], come[c])
                 row.append(s + 0.2 * alike if one_sided == 0 and s + 0.2 * alike >= by_sketch and alike > 0 else -1.0)
         weights.append(row)
-    return {come[j]: gone[i] for i, j in assign(weights) if weights[i][j] > 0}
-
-
-_COMPARED = "feed string, file_seq int, idx bigint, field_name string, kind string, came_from string, state string, scale_exp int"
-
-
-def _compare(key, pdf: pd.DataFrame) -> pd.DataFrame:
-    """One row per field of the newer file (state same, added, renamed) and per field that vanished (state removed)."""
-    feed, seq, idx = key
-    pdf = pdf.sort_values(["line_no", "rec_no"], kind="stable")
-    read = lambda older: [r for r in map(load, pdf.loc[pdf["older"] == older, "payload"]) if r is not None]
-    old, new = read(True), read(False)
-    a, b = columns(old), columns(new)
-    moved = renames(old, new) if old else {}
-    pairs = line_up(old, new) if moved else []
-    scale = {f: power(numeric([(canon(x.get(g)), canon(y.get(f))) for x, y in pairs])) for f, g in moved.items()}
-    rows = [(feed, seq, idx, f, kind_of(v), moved.get(f), "renamed" if f in moved else "same" if f in a or not old else "added", scale.get(f)) for f, v in b.items()]
-    rows += [(feed, seq, idx, f, None, None, "removed", None) for f in a if f not in b and f not in moved.values()] if new else []
-    return pd.DataFrame(rows, columns=["feed", "file_seq", "idx", "field_name", "kind", "came_from", "state", "scale_exp"]).astype({"scale_exp": "Int32"})
+    old, new = list(gone), list(come)
+    return {new[j]: old[i] for i, j in assign(weights) if weights[i][j] > 0}
+
+
+KINDS = ("array", "boolean", "integer", "number", "object", "string")
+_SUMS = ("n", *KINDS, "numeric", "magnitude", "texts", "chars")
+_BOTTOM = 16
+_PARTS = "feed string, file_seq int, field_name string, n bigint, " + ", ".join(f"`{k}` bigint" for k in KINDS) + ", numeric bigint, magnitude double, texts bigint, chars bigint, bottom array<bigint>"
+
+
+def value_hash(v) -> int:
+    """64 bits of a canonical value, the same in every process."""
+    return xxhash.xxh64_intdigest(str(v)) - (1 << 63)
+
+
+def _profiled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Profiles of what a batch holds of each (file, field); a row without field counts a file's readable records."""
+    for b in batches:
+        sums: dict[tuple, list] = {}
+        hashes: dict[tuple, set[int]] = {}
+        for feed, seq, payload in zip(b["feed"], b["file_seq"], b["payload"]):
+            r = load(payload)
+            at = sums.setdefault((feed, seq, None), [0] * len(_SUMS))
+            at[0] += r is not None
+            for f, v in (r or {}).items():
+                at = sums.setdefault((feed, seq, f), [0] * len(_SUMS))
+                if v is None:
+                    continue
+                at[0] += 1
+                at[1 + KINDS.index(kind(v))] += 1
+                c = canon(v)
+                if isinstance(c, tuple):
+                    if c[0] == "n":
+                        at[7] += 1
+                        at[8] += magnitude(c[1])
+                    else:
+                        at[9] += 1
+                        at[10] += len(c[1])
+                hashes.setdefault((feed, seq, f), set()).add(value_hash(c))
+        rows = [(*k, *v, sorted(hashes.get(k, ()))[:_BOTTOM]) for k, v in sums.items()]
+        yield pd.DataFrame(rows, columns=["feed", "file_seq", "field_name", *_SUMS, "bottom"])
+
+
+def profiles(files: DataFrame) -> DataFrame:
+    """One row per (feed, file_seq, field_name) with its sketch and JSON type ``kind``; field_name null counts the file's readable records."""
+    rows = _usable(files).select("feed", "file_seq", "payload").mapInPandas(_profiled, _PARTS)
+    bottom = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("bottom")))), 1, _BOTTOM)
+    rows = rows.groupBy("feed", "file_seq", "field_name").agg(*[F.sum(c).alias(c) for c in _SUMS], bottom.alias("bottom"))
+    # number if any value has a decimal point, else the most frequent type
+    most = F.array_min(F.filter(F.array(*[F.struct((-F.col(k)).alias("n"), F.lit(k).alias("kind")) for k in KINDS]), lambda x: x["n"] < 0))["kind"]
+    return rows.withColumn("kind", F.when((F.col("number") > 0) & (F.col("number") + F.col("integer") == F.col("n")), "number").otherwise(most))
+
+
+def _usable(files: DataFrame) -> DataFrame:
+    rows = files.where(F.col("feed").isNotNull() & F.col("file_seq").isNotNull() & F.col("payload").isNotNull())
+    return rows.select("feed", F.col("file_seq").cast("int").alias("file_seq"), F.coalesce("line_no", F.lit(0)).alias("line_no"), "rec_no", "payload")
+
+
+def _hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        values = [{value_hash(v) for v in map(canon, (load(p) or {}).values()) if isinstance(v, tuple)} for p in b["payload"]]
+        yield b.assign(hashes=[sorted(v) for v in values])
+
+
+_MATCHED = "feed string, idx bigint, field_name string, came_from string, scale_exp int"
+
+
+def _matched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Renames of one pair of files after another; the rows of a pair follow each other, its records in order of file and line."""
+    rows = (dict(zip(b.columns, r)) for b in batches for r in zip(*(b[c] for c in b.columns)))
+    for (feed, idx), group in itertools.groupby(rows, key=lambda r: (r["feed"], r["idx"])):
+        fields, records = {True: {}, False: {}}, {True: [], False: []}
+        for r in group:
+            if r["payload"] is None:
+                fields[r["older"]][r["field_name"]] = r
+            elif (d := load(r["payload"])) is not None:
+                records[r["older"]].append(d)
+        gone, come = (dict(sorted(fields[o].items())) for o in (True, False))
+        pairs = line_up(records[True], records[False])
+        out = []
+        for f, g in renames(gone, come, pairs).items():
+            out.append((feed, idx, f, g, power(numeric([(canon(x.get(g)), canon(y.get(f))) for x, y in pairs]))))
+        yield pd.DataFrame(out, columns=["feed", "idx", "field_name", "came_from", "scale_exp"]).astype({"scale_exp": "Int32"})
 
 
 def compared(files: DataFrame) -> DataFrame:
-    """Each file's fields against the file before."""
-    rows = files.where(F.col("feed").isNotNull() & F.col("file_seq").isNotNull() & F.col("payload").isNotNull()).select("feed", F.col("file_seq").cast("int").alias("file_seq"), F.coalesce("line_no", F.lit(0)).alias("line_no"), "rec_no", "payload")
-    order = rows.select("feed", "file_seq").distinct()
+    """Each file's fields against the file before: state same, added, renamed (``came_from``, ``scale_exp``) or removed, and JSON type."""
+    seen = written(profiles(files), "profiles")
     along = W.partitionBy("feed").orderBy("file_seq")
-    order = order.select("feed", "file_seq", F.row_number().over(along).cast("bigint").alias("idx"), F.lead("file_seq").over(along).alias("next_seq"))
-    rows = rows.join(order, ["feed", "file_seq"])
+    order = seen.where("field_name is null").select("feed", "file_seq", F.col("n").alias("valid"), F.row_number().over(along).cast("bigint").alias("idx"), F.coalesce(F.lag("n").over(along), F.lit(0)).alias("before"))
+    sketch = F.struct("n", "numeric", "magnitude", "texts", "chars", "bottom").alias("sketch")
+    now = seen.where("field_name is not null").join(order.select("feed", "file_seq", "idx"), ["feed", "file_seq"]).select("feed", "idx", "field_name", "kind", sketch)
+    was = now.select("feed", (F.col("idx") + 1).alias("idx"), "field_name", F.lit(True).alias("had"), F.col("sketch").alias("old_sketch"))
+    both = now.withColumn("has", F.lit(True)).join(was, ["feed", "idx", "field_name"], "full_outer").join(order, ["feed", "idx"])
+    state = F.when(F.col("has").isNull(), F.when(F.col("valid") > 0, "removed")).when(F.col("had").isNull() & (F.col("before") > 0), "added").otherwise("same")
+    both = written(both.withColumn("state", state).where("state is not null"), "fields")
+    moved = _renamed(files, both, order)
+    came = both.where("state <> 'removed'").join(moved, ["feed", "idx", "field_name"], "left")
+    came = came.withColumn("state", F.when(F.col("came_from").isNotNull(), "renamed").otherwise(F.col("state")))
+    went = both.where("state = 'removed'").join(moved.select("feed", "idx", F.col("came_from").alias("field_name")), ["feed", "idx", "field_name"], "left_anti")
+    cols = ["feed", "file_seq", "idx", "field_name", "kind", "came_from", "state", "scale_exp"]
+    return came.select(*cols).unionByName(went.select("feed", "file_seq", "idx", "field_name", F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("came_from"), "state", F.lit(None).cast("int").alias("scale_exp")))
+
+
+def _renamed(files: DataFrame, both: DataFrame, order: DataFrame) -> DataFrame:
+    """(feed, idx, field_name, came_from, scale_exp) of the files that both lost and gained fields."""
+    changed = both.where("state in ('added', 'removed')").withColumn("older", F.col("state") == "removed")
+    pairs = changed.groupBy("feed", "idx").agg(F.count_if("older").alias("gone"), F.count("*").alias("all")).where("gone > 0 and gone < all").select("feed", "idx")
+    fields = changed.join(pairs, ["feed", "idx"], "left_semi").select("feed", "idx", "older", "field_name", F.coalesce("sketch", "old_sketch").alias("sketch"))
+    fields = fields.select("feed", "idx", "older", "field_name", "sketch.*")
     # a file is read as the newer of its pair and as the older of the next
-    roles = F.array(
-        F.struct(F.col("file_seq").alias("seq"), F.col("idx").alias("idx"), F.lit(False).alias("older")),
-        F.struct(F.col("next_seq").alias("seq"), (F.col("idx") + 1).alias("idx"), F.lit(True).alias("older")),
-    )
-    rows = rows.select("feed", "line_no", "rec_no", "payload", F.explode(roles).alias("r")).where(F.col("r.seq").isNotNull())
-    rows = rows.select("feed", F.col("r.seq").alias("file_seq"), F.col("r.idx").alias("idx"), F.col("r.older").alias("older"), "line_no", "rec_no", "payload")
-    return rows.groupBy("feed", "file_seq", "idx").applyInPandas(_compare, _COMPARED)
+    places = order.select("feed", "file_seq", "idx")
+    roles = places.select("feed", "file_seq", F.explode(F.array(F.struct("idx", F.lit(False).alias("older")), F.struct((F.col("idx") + 1).alias("idx"), F.lit(True).alias("older")))).alias("r")).select("feed", "file_seq", "r.*")
+    records = _usable(files).join(roles.join(pairs, ["feed", "idx"], "left_semi"), ["feed", "file_seq"]).select("feed", "idx", "older", "line_no", "rec_no", "payload")
+    records = written(records.mapInPandas(_hashed, "feed string, idx bigint, older boolean, line_no bigint, rec_no bigint, payload string, hashes array<bigint>"), "records")
+    # records that share a telling value with the other file
+    each = records.select("feed", "idx", "older", "line_no", "rec_no", F.explode("hashes").alias("h"))
+    telling = each.groupBy("feed", "idx", "h").agg(F.count_if("older").alias("o"), F.count_if(~F.col("older")).alias("n")).where(F.col("o").between(1, TELLING) & F.col("n").between(1, TELLING))
+    shared = each.join(telling, ["feed", "idx", "h"], "left_semi").select("feed", "idx", "older", "line_no", "rec_no").distinct()
+    on = [records[c].eqNullSafe(shared[c]) for c in ("feed", "idx", "older", "line_no", "rec_no")]
+    rows = fields.unionByName(records.join(shared, functools.reduce(lambda x, y: x & y, on), "left_semi").drop("hashes"), allowMissingColumns=True)
+    rows = rows.repartition("feed", "idx").sortWithinPartitions("feed", "idx", "older", "line_no", "rec_no")
+    return written(rows.mapInPandas(_matched, _MATCHED), "renames")
 
 
 def changes(files: DataFrame) -> DataFrame:
@@ -289,7 +373,7 @@ def changes(files: DataFrame) -> DataFrame:
 
     ``json_type`` is the field's type from here on; a renamed field's new values are the old ones x 10^scale_exp, null if the repeated records don't tell.
     """
-    # read by several joins below: the comparison, the one Python step, runs once
+    # read by several joins below: the comparison runs once
     c = written(compared(files), "drift")
     state = c.where("state <> 'removed'")
     along = W.partitionBy("feed", "field_name").orderBy("idx")
