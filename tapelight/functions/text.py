@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 _COMPOSED = "".join(c for c in map(chr, range(0xC0, 0x250)) if (d := unicodedata.normalize("NFD", c)) != c and d[0].isascii())
 _PLAIN = "".join(unicodedata.normalize("NFD", c)[0] for c in _COMPOSED)
 
-# Words of titles that aren't names.
-STOP_WORDS = ("the", "will", "win", "beat", "and", "vs", "ufc", "fight", "night")
+# Parts of names that don't tell people apart.
+STOP_WORDS = ("de", "da", "el", "al", "van", "von", "le", "la", "los", "del", "jr", "sr", "ii", "iii")
 # Month codes of tickers.
 MONTH_CODES = ("JAN", "FEB", "MAR", "APR", "MAY", "JUN", "JUL", "AUG", "SEP", "OCT", "NOV", "DEC")
 
@@ -27,6 +27,16 @@ def name_tokens(c: Column, least: int = 3) -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.split(plain_name(c), " "), lambda t: (F.length(t) >= least) & ~t.isin(*STOP_WORDS))))
 
 
+def words(c: Column) -> Column:
+    """All distinct words of a name."""
+    return F.array_distinct(F.filter(F.split(plain_name(c), " "), lambda t: t != ""))
+
+
+def title_name(c: Column) -> Column:
+    """Who a title asks about: "Will X win the ...", also beat or defeat."""
+    return F.nullif(F.trim(F.regexp_extract(c, r"^Will (.+?) (?:win|beat|defeat) ", 1)), F.lit(""))
+
+
 def overlap(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b))
 

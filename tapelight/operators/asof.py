@@ -39,9 +39,9 @@ def interpolate_at(points: DataFrame, at: DataFrame, key: str, t: str, x: str) -
     """Linear interpolation of (t, x) at the times of ``at``; beyond the ends the end values hold."""
     p = points.select(key, t, F.col(x).alias("_x")).where("_x is not null")
     both = p.withColumn("_side", F.lit(0)).unionByName(at.withColumn("_side", F.lit(1)), allowMissingColumns=True)
-    w = Window.partitionBy(key).orderBy(t, "_side")
+    w, back = Window.partitionBy(key).orderBy(t, "_side"), Window.partitionBy(key).orderBy(F.desc(t), F.desc("_side"))
     known = F.when(F.col("_side") == 0, F.struct(F.col(t).alias("t"), F.col("_x").alias("x")))
-    both = both.withColumns({"_a": F.last(known, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "_b": F.first(known, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))})
+    both = both.withColumns({"_a": F.last(known, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "_b": F.last(known, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0))})
     a, b = F.col("_a"), F.col("_b")
     lerp = F.when(a.isNull(), b["x"]).when(b.isNull() | (b["t"] == a["t"]), a["x"]).otherwise(a["x"] + (b["x"] - a["x"]) * (F.col(t) - a["t"]) / (b["t"] - a["t"]))
     return both.withColumn("interpolated", lerp).where("_side = 1").drop("_side", "_x", "_a", "_b")

@@ -16,6 +16,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapelight.operators import stats
+
 
 def floor_to(t: Column, width: int) -> Column:
     """Start of the bar of ``width`` seconds that holds epoch second ``t``."""
@@ -41,7 +43,7 @@ def ofi_bars(df: DataFrame, keys: Sequence[str], width: int = 300, large: float
     signed = F.when(F.col("taker_side") == "yes", F.col("size")).otherwise(-F.col("size"))
     extra = []
     if large is not None:
-        cut = df.groupBy(entity).agg(F.percentile("size", F.lit(large)).alias("cut"))
+        cut = stats.percentiles(df, "size", [large], [entity], "_cut").select(entity, F.col("_cut")[0].alias("cut"))
         df = df.join(cut, entity)
         extra = [F.sum(F.when(F.col("size") >= F.col("cut"), signed).otherwise(0.0)).alias("ofi_large"), F.count_if(F.col("size") >= F.col("cut")).alias("n_large")]
     at = F.struct("t", "trade_id")
@@ -70,8 +72,8 @@ def rolling_sum(bars: DataFrame, x: str, seconds: int, name: str, entity: str =
 
 def zscore(df: DataFrame, x: str, name: str, entity: str = "ticker") -> DataFrame:
     """(x - mean) / sample deviation within the entity; null where it doesn't vary."""
-    w = Window.partitionBy(entity)
-    return df.withColumn(name, (F.col(x) - F.avg(x).over(w)) / F.nullif(F.stddev_samp(x).over(w), F.lit(0.0)))
+    d = stats.joined_back(df, [entity], F.avg(x).alias("_m"), F.stddev_samp(x).alias("_s"))
+    return d.withColumn(name, (F.col(x) - F.col("_m")) / F.nullif("_s", F.lit(0.0))).drop("_m", "_s")
 
 
 def resample(bars: DataFrame, keys: Sequence[str], width: int, last: Sequence[str], sums: Sequence[str]) -> DataFrame:
@@ -88,16 +90,19 @@ def bounded_fill(df: DataFrame, x: str, limit: int | None, entity: str = "fight"
 
 
 def backward_fill(x: str, entity: str = "fight") -> Column:
-    return F.first(x, ignorenulls=True).over(by(entity).rowsBetween(0, Window.unboundedFollowing))
+    """Next known ``x``: the last one from the far end backwards, a running value."""
+    return F.last(x, ignorenulls=True).over(Window.partitionBy(entity).orderBy(F.desc("bar")).rowsBetween(Window.unboundedPreceding, 0))
 
 
-def panel(k: DataFrame, p: DataFrame, width: int, limit: int = 12, entity: str = "fight") -> DataFrame:
-    """Two-venue panel on the grid from an entity's first to its last bar: values carried ``limit`` bars, stale flags, rows with any price, both_traded.
+def panel(k: DataFrame, p: DataFrame, width: int, limit: int = 12, entity: str = "fight", bounds: DataFrame | None = None) -> DataFrame:
+    """Two-venue panel on the grid from an entity's first to its last bar, or on [lo, hi) of ``bounds`` (entity, lo, hi): values carried ``limit`` bars, stale flags, rows with any price, both_traded.
 
     Entities with one silent venue drop out.
     """
     ends = k.select(entity, "bar").unionByName(p.select(entity, "bar")).groupBy(entity).agg(F.min("bar").alias("lo"), F.max("bar").alias("hi"))
     both = k.select(entity).distinct().join(p.select(entity).distinct(), entity, "left_semi")
+    if bounds is not None:
+        ends = bounds.select(entity, "lo", (F.col("hi") - width).alias("hi")).where("hi >= lo")
     grid = ends.join(both, entity, "left_semi").select(entity, F.explode(F.sequence("lo", "hi", F.lit(width).cast("bigint"))).alias("bar"))
     side = lambda d, n: d.select(entity, "bar", *[F.col(c).alias(f"{n}_{c}") for c in ("last", "vwap", "vol", "n")])
     g = grid.join(side(k, "k"), [entity, "bar"], "left").join(side(p, "pm"), [entity, "bar"], "left")

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapelight.operators import stats
 from tapelight.operators.bars import by
 
 
@@ -21,16 +22,20 @@ def returns(panel: DataFrame, entity: str = "fight") -> DataFrame:
     return d.withColumns({"dk": F.col("k_last") - F.lag("k_last").over(w), "dp": F.col("pm_last") - F.lag("pm_last").over(w)})
 
 
-def ccf(d: DataFrame, lags: Sequence[int], entity: str = "fight", least: int = 15) -> DataFrame:
-    """Correlation of dk(t) with dp(t+lag) per entity and lag, then Fisher-z mean over entities."""
+def ccf(d: DataFrame, lags: Sequence[int], entity: str = "fight", least: int = 15, reps: int = 0) -> DataFrame:
+    """Correlation of dk(t) with dp(t+lag) per entity and lag, then Fisher-z mean over entities; with ``reps`` its interval over drawn entities."""
     w = by(entity)
     d = d.where("dk is not null and dp is not null")
     for lag in lags:
         d = d.withColumn(f"_{lag}", F.lead("dp", lag).over(w) if lag >= 0 else F.lag("dp", -lag).over(w))
     long = d.select(entity, "dk", F.explode(F.array(*[F.struct(F.lit(g).alias("lag"), F.col(f"_{g}").alias("v")) for g in lags])).alias("e")).select(entity, "dk", "e.lag", "e.v").where("v is not null")
     each = long.groupBy(entity, "lag").agg(F.count("*").alias("n"), F.corr("dk", "v").alias("rho"), F.stddev_samp("dk").alias("s1"), F.stddev_samp("v").alias("s2"))
-    z = F.atanh(F.greatest(F.lit(-0.9999), F.least(F.lit(0.9999), F.col("rho"))))
-    return each.where((F.col("n") >= least) & (F.col("s1") >= 1e-12) & (F.col("s2") >= 1e-12)).groupBy("lag").agg(F.count("*").alias("entities"), F.tanh(F.avg(z)).alias("rho"))
+    each = each.where((F.col("n") >= least) & (F.col("s1") >= 1e-12) & (F.col("s2") >= 1e-12)).select(entity, "lag", stats.fisher_z(F.col("rho")).alias("z"))
+    point = each.groupBy("lag").agg(F.count("*").alias("entities"), F.tanh(F.avg("z")).alias("rho"))
+    if not reps:
+        return point
+    ci = stats.interval(stats.resampled(each.withColumn("one", F.lit(1)), "z", "one", entity, ["lag"], reps), ["lag"])
+    return point.join(ci, "lag").withColumns({c: F.tanh(c) for c in ("lo", "hi")})
 
 
 def three_buckets(d: DataFrame, thresholds: Sequence[float], era: str = "era") -> DataFrame:
@@ -51,22 +56,57 @@ def cojumps(d: DataFrame, threshold: float) -> DataFrame:
     return d.agg(F.count_if(jk | jp).alias("either"), F.count_if(jk & jp).alias("both"), F.avg(F.when(jk & jp, aligned)).alias("mean_aligned"), F.percentile(F.when(jk, F.abs("dp")), F.lit(0.5)).alias("median_response"), F.avg(F.abs("dp")).alias("baseline"))
 
 
-def propagation(d: DataFrame, threshold: float, horizon: int, hold: float = 0.5, entity: str = "fight") -> DataFrame:
-    """Jumps of K that persist (at least ``hold`` of the move is left after ``horizon`` bars) or fade, and P's cumulative response."""
+def moves(d: DataFrame, threshold: float, horizons: Sequence[int], hold_bars: int, hold: float = 0.5, entity: str = "fight", lead: str = "k") -> DataFrame:
+    """(entity, bar, kind, horizon, response): a row per jump of the leading venue and horizon.
+
+    A jump is persistent if at least ``hold`` of it is left after ``hold_bars`` bars, else transient; without that many bars it is none. The
+    response is the other venue's signed move: in the same bar for horizon 0, else summed over the next ``horizon`` bars, null where
+    these are not all there or fewer than half of them are known.
+    """
     w = by(entity)
-    ahead = w.rowsBetween(1, horizon)
-    d = d.withColumns({"_before": F.lag("k_last").over(w), "_after": F.lead("k_last", horizon).over(w), "_resp": F.sum("dp").over(ahead), "_rows": F.count("*").over(ahead), "_have": F.count("dp").over(ahead)})
-    d = d.where((F.abs("dk") >= threshold) & F.col("_after").isNotNull() & (F.col("_rows") == horizon) & (F.col("_have") >= max(1, horizon // 2)))
-    kept = (F.col("_after") - F.col("_before")) / F.col("dk")
-    signed = F.signum("dk") * F.col("_resp")
-    return d.groupBy(F.when(kept >= hold, "persistent").otherwise("transient").alias("kind")).agg(F.count("*").alias("n"), F.avg(signed).alias("response"), F.avg((signed > 0).cast("int")).alias("share_same"))
+    a, b, price = ("dk", "dp", "k_last") if lead == "k" else ("dp", "dk", "pm_last")
+    d = d.withColumns({"_before": F.lag(price).over(w), "_after": F.lead(price, hold_bars).over(w)})
+    for h in horizons:
+        if h:
+            ahead = w.rowsBetween(1, h)
+            d = d.withColumn(f"_h{h}", F.when((F.count("*").over(ahead) == h) & (F.count(b).over(ahead) >= max(1, h // 2)), F.sum(b).over(ahead)))
+    jumps = d.where((F.abs(a) >= threshold) & F.col("_before").isNotNull() & F.col("_after").isNotNull())
+    kept = F.signum(a) * (F.col("_after") - F.col("_before")) >= hold * F.abs(a)
+    each = F.array(*[F.struct(F.lit(h).alias("horizon"), (F.signum(a) * F.col(f"_h{h}" if h else b)).alias("response")) for h in horizons])
+    return jumps.select(entity, "bar", F.when(kept, "persistent").otherwise("transient").alias("kind"), F.explode(each).alias("e")).select(entity, "bar", "kind", "e.*")
+
+
+def propagation(d: DataFrame, threshold: float, horizon: int, hold: float = 0.5, entity: str = "fight") -> DataFrame:
+    """Jumps of K that persist or fade over the horizon, and P's cumulative response."""
+    m = moves(d, threshold, [horizon], horizon, hold, entity).where("response is not null")
+    return m.groupBy("kind").agg(F.count("*").alias("n"), F.avg("response").alias("response"), F.avg((F.col("response") > 0).cast("int")).alias("share_same"))
+
+
+def contrast(d: DataFrame, threshold: float, horizons: Sequence[int], hold_bars: int, entity: str = "fight", reps: int = 200, seed: int = 42) -> DataFrame:
+    """(horizon, entities, diff, lo, hi): response to persistent minus to transient jumps, paired by entity.
+
+    Entities with both kinds give a difference each; the interval draws entities, those without a difference too.
+    """
+    m = moves(d, threshold, horizons, hold_bars, entity=entity).groupBy(entity, "horizon").agg(
+        (F.avg(F.when(F.col("kind") == "persistent", F.col("response"))) - F.avg(F.when(F.col("kind") == "transient", F.col("response")))).alias("diff")
+    )
+    all_of = d.select(entity).distinct().withColumn("horizon", F.explode(F.array(*map(F.lit, horizons))))
+    per = all_of.join(m, [entity, "horizon"], "left").withColumn("one", F.lit(1))
+    point = per.groupBy("horizon").agg(F.count("diff").alias("entities"), F.avg("diff").alias("diff"))
+    return point.join(stats.interval(stats.resampled(per, "diff", "one", entity, ["horizon"], reps, seed), ["horizon"]), "horizon")
 
 
-def contrast(d: DataFrame, threshold: float, entity: str = "fight") -> DataFrame:
-    """Per entity: mean absolute response of P to K's jumps minus K's to P's; the mean over entities with both."""
+def bucket_difference(d: DataFrame, thresholds: Sequence[float], entity: str = "fight", reps: int = 200, seed: int = 42) -> DataFrame:
+    """(thr, diff, lo, hi): same-direction share of K's jumps minus that of P's, in points; the interval draws both sides' entities on their own."""
     d = d.where("dk is not null and dp is not null")
-    per = d.groupBy(entity).agg(F.avg(F.when(F.abs("dk") >= threshold, F.signum("dk") * F.col("dp"))).alias("p"), F.avg(F.when(F.abs("dp") >= threshold, F.signum("dp") * F.col("dk"))).alias("k"))
-    return per.where("p is not null and k is not null").agg(F.count("*").alias("entities"), F.avg(F.col("p") - F.col("k")).alias("diff"))
+    both = F.array(F.struct(F.lit(1).alias("side"), F.col("dk").alias("a"), F.col("dp").alias("b")), F.struct(F.lit(-1).alias("side"), F.col("dp").alias("a"), F.col("dk").alias("b")))
+    long = d.select(entity, F.explode(both).alias("m")).select(entity, "m.*").withColumn("thr", F.explode(F.array(*map(F.lit, thresholds)))).where(F.abs("a") >= F.col("thr"))
+    per = long.groupBy(entity, "side", "thr").agg(F.count("*").alias("n"), F.count_if(F.signum("a") * F.col("b") > 0).alias("same")).withColumns({"rate": F.col("same") / F.col("n"), "one": F.lit(1)})
+    sign = lambda c: F.sum(F.col("side") * c) * 100
+    point = per.groupBy("thr", "side").agg((F.sum("same") / F.sum("n")).alias("p")).groupBy("thr").agg(sign(F.col("p")).alias("diff"))
+    draws = [stats.resampled(per.where(F.col("side") == s), "rate", "one", entity, ["thr"], reps, seed + k).withColumn("side", F.lit(s)) for k, s in enumerate((1, -1))]
+    rep = draws[0].unionByName(draws[1]).groupBy("thr", "rep").agg(sign(F.col("s")).alias("s"))
+    return point.join(stats.interval(rep, ["thr"]), "thr")
 
 
 def gap_episodes(panel: DataFrame, opens: float = 0.05, closes: float = 0.02, entity: str = "fight") -> DataFrame:

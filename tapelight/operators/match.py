@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapelight.functions import text as X
+
 
 def first_per(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """One row per key, the first in ``order`` (give a unique last column)."""
@@ -26,6 +28,45 @@ def overridden(df: DataFrame, overrides: DataFrame, key: str, value: str) -> Dat
     return d.withColumn(value, v).withColumn("decision", F.coalesce("_a", F.lit("AUTO"))).drop("_a", "_v")
 
 
+def sides(pairs: DataFrame, names: DataFrame, alt_era: str | None = None, overrides: DataFrame | None = None) -> DataFrame:
+    """Which ticker of a bout stands for the market's first name, for (fight_id, era, tickers, who, named, ...) and (ticker, name, close_time).
+
+    The ticker whose name shares most words with the first name is its YES side, the first in the list at equal scores. Where none shares
+    any and there are two, the sides are flipped (``overrides``: fight_id, flip text, has the last word); in ``alt_era`` a flipped bout takes the ticker of
+    the second name. ``close`` is that ticker's closing time, else the first other one's; ``side_method`` tells whether outcomes have names.
+    """
+    first, second = F.get("who", F.lit(0)), F.get("who", F.lit(1))
+    t = pairs.select("fight_id", X.words(first).alias("_a"), X.words(second).alias("_b"), F.posexplode("tickers").alias("_pos", "ticker")).join(names, "ticker", "left")
+    score = lambda c: F.coalesce(X.overlap(F.col(c), X.words(F.col("name"))), F.lit(0))
+    t = t.withColumns({"_s0": score("_a"), "_s1": score("_b")})
+    # a bout has a handful of tickers
+    best = t.groupBy("fight_id").agg(
+        F.max_by("ticker", F.struct("_s0", -F.col("_pos"))).alias("_t0"), F.max("_s0").alias("name_score"), F.max_by("ticker", F.struct("_s1", -F.col("_pos"))).alias("_t1"),
+        F.array_sort(F.collect_list(F.when(F.col("close_time").isNotNull(), F.struct("_pos", "ticker", "close_time")))).alias("_closes"),
+    )
+    d = pairs.join(best, "fight_id")
+    flip = (F.col("name_score") == 0) & (F.size("tickers") >= 2)
+    if overrides is not None:
+        d = d.join(overrides.select("fight_id", X.is_flag(F.col("flip")).alias("_o")), "fight_id", "left")
+        flip = F.coalesce("_o", flip)
+    two = F.size("who") >= 2
+    yes = F.when(F.col("flip") & two & (F.col("era") == alt_era), F.col("_t1")).otherwise(F.col("_t0")) if alt_era else F.col("_t0")
+    d = d.withColumn("flip", flip).withColumn("yes_ticker", yes)
+    own = F.get(F.filter("_closes", lambda x: x["ticker"] == F.col("yes_ticker")), F.lit(0))["close_time"]
+    close = F.coalesce(own, F.get("_closes", F.lit(0))["close_time"])
+    method = F.when(F.size("named") > 0, "named_outcome").otherwise("slug_position")
+    return d.withColumns({"pm_outcome": F.when(F.col("flip") & two, second).otherwise(first), "close": close, "side_method": method}).drop("_t0", "_t1", "_closes", "_o")
+
+
+def case_fallback(df: DataFrame, known: DataFrame, on: Sequence[str], said: str, name: str) -> DataFrame:
+    """``df`` with ``name`` from ``known`` where it is written as ``said``, else where only the case differs (the first in order), and ``how``."""
+    lower = known.groupBy(*on, F.lower(name).alias("_low")).agg(F.min(name).alias("_any"), F.collect_set(name).alias("_all"))
+    d = df.withColumn("_low", F.lower(said)).join(lower, [*on, "_low"], "left").drop("_low")
+    exact = F.coalesce(F.array_contains("_all", F.col(said)), F.lit(False))
+    how = F.when(exact, "exact").when(F.col("_any").isNotNull(), "case").otherwise("none")
+    return d.withColumns({name: F.when(exact, F.col(said)).otherwise(F.col("_any")), "how": how}).drop("_any", "_all")
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """Union in which an existing row wins over a new one with its key."""
     both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)), allowMissingColumns=True)

@@ -205,9 +205,32 @@ def q21_propagation(spark, sf):
     return rounded(eventstudy.propagation(_co(spark, sf), 0.03, 3), "response", "share_same")
 
 
-@query("WITH " + _CO + ", per AS (SELECT fight, avg(sign(dk)*dp) FILTER (abs(dk)>=0.03) p, avg(sign(dp)*dk) FILTER (abs(dp)>=0.03) k FROM co WHERE dk IS NOT NULL AND dp IS NOT NULL GROUP BY fight) SELECT count(*) AS entities, round(avg(p-k),6) AS diff FROM per WHERE p IS NOT NULL AND k IS NOT NULL")
+def boot_sql(per: str, groups: str, order: str, v: str, w: str = "1", reps: int = 200, seed: int = 42, name: str = "b", median: bool = False) -> str:
+    """CTEs {name}s (replications s) and {name}i (lo, hi) over clusters drawn by md5."""
+    g, of = (f"{groups}, ", f"PARTITION BY {groups}") if groups else ("", "")
+    what = "median(v)" if median else "sum(v)/sum(CASE WHEN v IS NOT NULL THEN w END)"
+    return f""", {name}o AS (SELECT {g}{v} AS v, {w} AS w, row_number() OVER ({of} ORDER BY {order})-1 AS pos, count(*) OVER ({of}) AS n FROM {per}),
+ {name}d AS (SELECT {g}rep, ('0x'||substr(md5(rep||'|'||pos||'|{seed}'),1,8))::BIGINT % n AS pos FROM {name}o, (SELECT unnest(range({reps})) rep)),
+ {name}s AS (SELECT {g}rep, {what} AS s FROM {name}d JOIN {name}o USING ({g}pos) GROUP BY ALL), {name}i AS (SELECT {g}quantile_cont(s,0.025) AS lo, quantile_cont(s,0.975) AS hi FROM {name}s {"GROUP BY " + groups if groups else ""})"""
+
+
+def moves_sql(lead: str, horizons: tuple[int, ...], hold: int, thr: float) -> str:
+    """CTE m_{lead}(fight, bar, kind, horizon, response) from co."""
+    a, b, px = ("dk", "dp", "k_last") if lead == "k" else ("dp", "dk", "pm_last")
+    far = [h for h in horizons if h]
+    cols = ", ".join(f"CASE WHEN count(*) OVER n{h} = {h} AND count({b}) OVER n{h} >= {max(1, h // 2)} THEN sum({b}) OVER n{h} END AS h{h}" for h in far)
+    wins = ", ".join(f"n{h} AS (PARTITION BY fight ORDER BY bar ROWS BETWEEN 1 FOLLOWING AND {h} FOLLOWING)" for h in far)
+    each = " UNION ALL ".join(f"SELECT fight, bar, kind, {h} AS horizon, s*{f'h{h}' if h else b} AS response FROM j_{lead}" for h in horizons)
+    return f""", w_{lead} AS (SELECT *, lag({px}) OVER o AS bf, lead({px},{hold}) OVER o AS af, {cols} FROM co WINDOW o AS (PARTITION BY fight ORDER BY bar), {wins}),
+ j_{lead} AS (SELECT *, sign({a}) AS s, CASE WHEN sign({a})*(af-bf) >= 0.5*abs({a}) THEN 'persistent' ELSE 'transient' END AS kind FROM w_{lead} WHERE abs({a})>={thr} AND bf IS NOT NULL AND af IS NOT NULL), m_{lead} AS ({each})"""
+
+
+@query("WITH " + _CO + moves_sql("k", (0, 1, 3), 3, 0.03) + """, pr AS (SELECT fight, horizon, avg(response) FILTER (kind='persistent') - avg(response) FILTER (kind='transient') AS diff FROM m_k GROUP BY ALL),
+ per AS (SELECT f.fight, h.horizon, pr.diff FROM (SELECT DISTINCT fight FROM co) f CROSS JOIN (VALUES (0),(1),(3)) h(horizon) LEFT JOIN pr ON pr.fight=f.fight AND pr.horizon=h.horizon)""" + boot_sql("per", "horizon", "fight", "diff")
+ + " SELECT horizon, count(diff) AS entities, round(avg(diff),6) AS diff, round(any_value(lo),6) AS lo, round(any_value(hi),6) AS hi FROM per JOIN bi USING (horizon) GROUP BY horizon")
 def q22_contrast_paired(spark, sf):
-    return rounded(eventstudy.contrast(_co(spark, sf), 0.03), "diff")
+    """Response to persistent minus to transient jumps, paired by fight, with its interval."""
+    return rounded(eventstudy.contrast(_co(spark, sf), 0.03, (0, 1, 3), 3), "diff", "lo", "hi")
 
 
 @query("WITH " + TAPE_SQL + """, c AS (SELECT card, sum(price) v, count(*) w FROM tape GROUP BY card), o AS (SELECT *, row_number() OVER (ORDER BY card)-1 AS pos, count(*) OVER () AS n FROM c),
@@ -238,9 +261,9 @@ def q25_episode_summary(spark, sf):
 @query("WITH " + TAPE_SQL + ", v AS (SELECT ticker, sum(size) vol FROM tape GROUP BY ticker), q AS (SELECT quantile_cont(vol,0.9) q FROM v) SELECT ticker, round(vol,4) AS vol, CASE WHEN vol>=q THEN 'main' ELSE 'undercard' END AS tier, row_number() OVER (ORDER BY vol DESC, ticker) AS rank FROM v, q")
 def q26_tier_top_decile(spark, sf):
     v = tape(spark, sf).groupBy("ticker").agg(F.sum("size").alias("vol"))
-    cut = v.agg(F.percentile("vol", F.lit(0.9)).alias("q"))
-    d = v.crossJoin(F.broadcast(cut))  # one row
-    return d.select("ticker", F.round("vol", 4).alias("vol"), F.when(F.col("vol") >= F.col("q"), "main").otherwise("undercard").alias("tier"), F.row_number().over(Window.orderBy(F.desc("vol"), "ticker")).cast("bigint").alias("rank"))
+    d = v.crossJoin(F.broadcast(stats.percentiles(v, "vol", [0.9])))  # one row
+    d = stats.ranked(d, [F.desc("vol"), F.col("ticker")])
+    return d.select("ticker", F.round("vol", 4).alias("vol"), F.when(F.col("vol") >= F.col("p")[0], "main").otherwise("undercard").alias("tier"), "rank")
 
 
 @query("WITH " + TAPE_SQL + ", v AS (SELECT fight, CASE WHEN day(card)<=15 THEN 1 ELSE 2 END AS era, count(*) n FROM tape WHERE venue='P' GROUP BY ALL), m AS (SELECT median(n) FILTER (era=1) a, median(n) FILTER (era=2) b FROM v) SELECT a AS median_1, b AS median_2, round(b/a,6) AS ratio, b/a BETWEEN 0.4 AND 1.0 AS passed FROM m")
@@ -339,8 +362,10 @@ _DENSE = _DAILY + """, sp AS (SELECT contract, min(date) lo, max(date) expiry FR
  dn AS (SELECT contract, date, strike, last_value(last IGNORE NULLS) OVER (PARTITION BY contract, strike ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS price, coalesce(volume,0) AS volume, expiry FROM gr LEFT JOIN daily USING (contract, date, strike)), dense AS (SELECT * FROM dn WHERE price IS NOT NULL)"""
 _MONO = _DENSE + """, mi AS (SELECT *, first_value(strike) OVER (PARTITION BY contract, date ORDER BY abs(price-49), strike) AS mid FROM dense), mono AS (SELECT *, min(price) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ltr, max(price) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rtl,
  CASE WHEN strike<=mid THEN max(CASE WHEN strike<=mid THEN price END) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) ELSE min(CASE WHEN strike>=mid THEN price END) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) END AS middle FROM mi WINDOW w AS (PARTITION BY contract, date ORDER BY strike))"""
-_PMF = _MONO + """, df AS (SELECT contract, date, strike, middle p, lag(middle) OVER (PARTITION BY contract, date ORDER BY strike) pr FROM mono), ma AS (SELECT contract, date, strike, CASE WHEN pr IS NULL THEN 99-p ELSE pr-p END AS m FROM df UNION ALL SELECT contract, date, max(strike)+1, arg_max(p, strike) FROM df GROUP BY contract, date),
- en AS (SELECT contract, date, min(strike) lo, max(strike) hi FROM ma GROUP BY contract, date), fu AS (SELECT contract, date, lo + unnest(range(CAST(hi-lo AS BIGINT)+1)) AS strike FROM en), pmf AS (SELECT contract, date, strike, coalesce(m,0)*100/nullif(sum(coalesce(m,0)) OVER (PARTITION BY contract, date),0) AS probability FROM fu LEFT JOIN ma USING (contract, date, strike))"""
+_BINS = _MONO + """, al AS (SELECT contract, date, strike, middle AS p FROM mono UNION ALL SELECT contract, date, min(strike) - 1, NULL FROM mono GROUP BY contract, date),
+ ma AS (SELECT contract, date, strike, CASE WHEN lag(strike) OVER w IS NULL THEN 99 - lead(p) OVER w WHEN lead(strike) OVER w IS NOT NULL THEN p - lead(p) OVER w ELSE p - 1 END AS m FROM al WINDOW w AS (PARTITION BY contract, date ORDER BY strike)),
+ en AS (SELECT contract, date, min(strike) lo, max(strike) hi FROM ma GROUP BY contract, date), fu AS (SELECT contract, date, lo + unnest(range(CAST(hi-lo AS BIGINT)+1)) AS strike FROM en), filled AS (SELECT contract, date, strike, coalesce(m,0) AS m FROM fu LEFT JOIN ma USING (contract, date, strike))"""
+_PMF = _BINS + """, pmf AS (SELECT contract, date, strike, m*100/nullif(sum(m) OVER (PARTITION BY contract, date),0) AS probability FROM filled)"""
 
 
 def _dense(spark, sf):
@@ -376,7 +401,8 @@ def q41_moments(spark, sf):
 
 @query()
 def q42_swap_fixpoint(spark, sf):
-    return rounded(ladders.swap_to_mode(ladders.pmf(ladders.monotone(_dense(spark, sf)))), "probability")
+    """Gaps closed towards the median, ladder by ladder."""
+    return rounded(ladders.normalised(ladders.swapped(ladders.bins(ladders.monotone(_dense(spark, sf))))), "probability")
 
 
 _QUOTES = LADDER_SQL + ", q AS (SELECT contract, date, min(price) AS bid, min(price) + (max(strike) - min(strike)) % 21 AS ask FROM ladder GROUP BY contract, date)"
@@ -476,7 +502,7 @@ def q54_stream_bars_available_now(spark, sf):
     e = spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(folder)
     k = F.get_json_object("props", "$.k").cast("int")
     t = e.select(F.col("event_id").alias("trade_id"), (F.col("user_id") % 20).alias("ticker"), ((k + 0.5) / 100).alias("price"), F.col("value").alias("size"), F.col("ts").cast("timestamp").alias("ts"))
-    return rounded(live.drain(live.streaming_bars(live.once(t, "trade_id", "ts", "3650 days"), ["ticker"], "ts", "1 hour")), "last", "vwap", "vol")
+    return rounded(live.drain(live.streaming_bars(live.once(t, "trade_id", "ts", "2 days"), ["ticker"], "ts", "1 hour")), "last", "vwap", "vol")
 
 
 # -- venue P fills, sides and windows -----------------------------------------
@@ -601,8 +627,10 @@ def q66_confirmatory_verdict(spark, sf):
 
 @query("WITH " + TAPE_SQL + " SELECT venue, count(*) AS n, round(avg(price),6) AS mean, round(stddev_samp(price),6) AS std, min(price) AS min, quantile_cont(price,0.25) AS p25, quantile_cont(price,0.5) AS p50, quantile_cont(price,0.75) AS p75, max(price) AS max, count(DISTINCT ticker) AS tickers, round(stddev_samp(price)/sqrt(count(*)),8) AS sem FROM tape GROUP BY venue")
 def q67_describe(spark, sf):
-    q = lambda p: F.percentile("price", F.lit(p))
-    return tape(spark, sf).groupBy("venue").agg(F.count("*").alias("n"), F.round(F.avg("price"), 6).alias("mean"), F.round(F.stddev_samp("price"), 6).alias("std"), F.min("price").alias("min"), q(0.25).alias("p25"), q(0.5).alias("p50"), q(0.75).alias("p75"), F.max("price").alias("max"), F.countDistinct("ticker").alias("tickers"), F.round(F.stddev_samp("price") / F.sqrt(F.count("*")), 8).alias("sem"))
+    t = tape(spark, sf)
+    q = stats.percentiles(t, "price", [0.25, 0.5, 0.75], ["venue"])
+    d = t.groupBy("venue").agg(F.count("*").alias("n"), F.round(F.avg("price"), 6).alias("mean"), F.round(F.stddev_samp("price"), 6).alias("std"), F.min("price").alias("min"), F.max("price").alias("max"), F.countDistinct("ticker").alias("tickers"), F.round(F.stddev_samp("price") / F.sqrt(F.count("*")), 8).alias("sem"))
+    return d.join(q, "venue").select(*d.columns, *[F.col("p")[k].alias(n) for k, n in enumerate(("p25", "p50", "p75"))])
 
 
 @query("WITH " + TAPE_SQL + " SELECT venue, taker_side, count(*) AS n, round(100.0*count(*)/sum(count(*)) OVER (PARTITION BY venue),6) AS pct FROM tape GROUP BY venue, taker_side")
@@ -633,7 +661,15 @@ def q71_surprise_responses(spark, sf):
     return d.groupBy(sign.alias("surprise")).agg(F.count("*").alias("n"), F.round(F.avg("dp_1"), 6).alias("response"), F.round(F.regr_slope("dp_1", "dp_contemp"), 6).alias("slope"), F.round(F.regr_intercept("dp_1", "dp_contemp"), 6).alias("intercept"))
 
 
-@query()
+@query("WITH " + _RET + """, d AS (SELECT 1.0 AS c0, ofi_z AS c1, dp_contemp AS c2, dp_1 AS y FROM z WHERE ofi_z IS NOT NULL AND dp_contemp IS NOT NULL AND dp_1 IS NOT NULL),
+ m AS (SELECT count(*)::DOUBLE n, sum(c1) a, sum(c2) b, sum(c1*c1) aa, sum(c1*c2) ab, sum(c2*c2) bb, sum(y) y0, sum(c1*y) y1, sum(c2*y) y2 FROM d),
+ t AS (SELECT *, n*(aa*bb-ab*ab) - a*(a*bb-ab*b) + b*(a*ab-aa*b) AS det FROM m),
+ i AS (SELECT (aa*bb-ab*ab)/det i00, (b*ab-a*bb)/det i01, (a*ab-b*aa)/det i02, (n*bb-b*b)/det i11, (a*b-n*ab)/det i12, (n*aa-a*a)/det i22, y0, y1, y2 FROM t),
+ be AS (SELECT *, i00*y0+i01*y1+i02*y2 b0, i01*y0+i11*y1+i12*y2 b1, i02*y0+i12*y1+i22*y2 b2 FROM i),
+ r AS (SELECT c1, c2, power((y-b0-b1*c1-b2*c2)/(1-(i00+2*i01*c1+2*i02*c2+i11*c1*c1+2*i12*c1*c2+i22*c2*c2)),2) AS e FROM d, be),
+ s AS (SELECT sum(e) m00, sum(e*c1) m01, sum(e*c2) m02, sum(e*c1*c1) m11, sum(e*c1*c2) m12, sum(e*c2*c2) m22 FROM r),
+ v AS (SELECT b0, b1, b2, """ + ", ".join(f"sqrt({x}*{x}*m00+{y}*{y}*m11+{z}*{z}*m22+2*{x}*{y}*m01+2*{x}*{z}*m02+2*{y}*{z}*m12) AS s{k}" for k, (x, y, z) in enumerate((("i00", "i01", "i02"), ("i01", "i11", "i12"), ("i02", "i12", "i22")))) + """ FROM be, s)
+ SELECT 'const' AS name, round(b0,8) AS beta, round(s0,8) AS se FROM v UNION ALL SELECT 'ofi_z', round(b1,8), round(s1,8) FROM v UNION ALL SELECT 'dp_contemp', round(b2,8), round(s2,8) FROM v""")
 def q72_two_shock_regression(spark, sf):
     """Coefficients and HC3 errors of two regressors; two passes over the data, 3x3 numbers at the driver."""
     r = stats.ols(_ret(spark, sf), ["ofi_z", "dp_contemp"], "dp_1")
@@ -646,14 +682,39 @@ def q73_p_values(spark, sf):
     return r.withColumn("p", stats.p_normal(F.col("t"))).withColumn("stars", io.stars(F.col("p")))
 
 
-@query()
+_XW = f"""fk AS (SELECT fight_id, TRY_CAST(try_strptime(left(fight_id,8),'%Y%m%d') AS DATE) AS d, era, tickers, coalesce({_sql_tokens("array_to_string(fighters_kalshi,' ')")}, []) AS a FROM fights_k),
+ nm AS (SELECT p.*, m.end_date, list_filter(p.outcomes, lambda x: lower(x) NOT IN ('yes','no')) AS named FROM fights_p p LEFT JOIN markets_p m ON m.id=p.pm_id),
+ fp AS (SELECT *, coalesce(TRY_CAST(nullif(regexp_extract(pm_slug,'(\\d{{4}}-\\d{{2}}-\\d{{2}})',1),'') AS DATE), CAST(end_date AS DATE)) AS pd, {_sql_tokens("CASE WHEN len(named)>0 THEN array_to_string(named,' ') ELSE replace(pm_slug,'-',' ') END")} AS b FROM nm),
+ cand AS (SELECT fight_id, pm_id, len(list_intersect(a,b)) AS n, row_number() OVER (PARTITION BY fight_id ORDER BY len(list_intersect(a,b)) DESC, pm_volume DESC NULLS LAST, pm_id) AS rn FROM fk JOIN fp ON pd BETWEEN d-1 AND d+1 WHERE len(list_intersect(a,b))>=1),
+ xw AS (SELECT fk.fight_id, c.pm_id, coalesce(c.n,0)::INT AS overlap_count, CASE WHEN c.n>=2 OR (len(a)>=2 AND c.n*1.0/len(a)>=0.5) THEN 'exact' WHEN c.n>=1 THEN 'fuzzy' ELSE 'unmatched' END AS match_confidence FROM fk LEFT JOIN cand c ON c.fight_id=fk.fight_id AND c.rn=1)"""
+
+
+def _market_sides(spark, sf):
+    """Venue P's markets with names from named outcomes, else the slug, and the day from the slug, else the end date."""
+    mp = table(spark, sf, "markets_p").select(F.col("id").alias("pm_id"), "end_date")
+    fp = table(spark, sf, "fights_p").join(mp, "pm_id", "left")
+    named = F.filter("outcomes", lambda x: ~F.lower(x).isin("yes", "no"))
+    names = F.when(F.size(named) > 0, F.array_join(named, " ")).otherwise(F.translate("pm_slug", "-", " "))
+    day = F.coalesce(F.try_to_date(F.nullif(F.regexp_extract("pm_slug", r"(\d{4}-\d{2}-\d{2})", 1), F.lit("")), "yyyy-MM-dd"), F.to_date("end_date"))
+    return fp.select("pm_id", "outcomes", "fighters_pm", "pm_slug", "pm_volume", named.alias("named"), day.alias("pd"), X.name_tokens(names).alias("b"))
+
+
+def _crosswalk(spark, sf):
+    fk = table(spark, sf, "fights_k").select("fight_id", F.try_to_date(F.substring("fight_id", 1, 8), "yyyyMMdd").alias("d"), F.coalesce(X.name_tokens(F.array_join("fighters_kalshi", " ")), F.array().cast("array<string>")).alias("a"))
+    fp = _market_sides(spark, sf).where("pd is not null")
+    # met by day and token, so a day's bouts are never all compared; the shared tokens of a pair are its score
+    j = asof.band_join(fk.select("fight_id", "d", F.explode("a").alias("token")), fp.select("pm_id", "pd", "pm_volume", F.explode("b").alias("token")), "d", "pd", 1, ["token"])
+    j = j.groupBy("fight_id", "pm_id").agg(F.count("*").cast("int").alias("n"), F.first("pm_volume").alias("pm_volume"))
+    best = match.first_per(j, ["fight_id"], [F.desc("n"), F.desc_nulls_last("pm_volume"), F.col("pm_id")]).select("fight_id", "pm_id", "n")
+    n, k = F.coalesce("n", F.lit(0)), F.size("a")
+    sure = F.when((n >= 2) | ((k >= 2) & (n / k >= 0.5)), "exact").when(n >= 1, "fuzzy").otherwise("unmatched")
+    return fk.join(best, "fight_id", "left").select("fight_id", "pm_id", n.alias("overlap_count"), sure.alias("match_confidence"))
+
+
+@query("WITH " + _XW + " SELECT * FROM xw")
 def q74_crosswalk_rules(spark, sf):
-    """Rule-based crosswalk: fights and markets a day apart at most whose name tokens overlap, best overlap first, then volume."""
-    fk = table(spark, sf, "fights_k").select("fight_id", F.to_date(F.substring("fight_id", 1, 8), "yyyyMMdd").alias("d"), X.name_tokens(F.array_join("fighters_kalshi", " ")).alias("a"))
-    fp = table(spark, sf, "fights_p").where("pm_fight_date is not null and fighters_pm is not null").select("pm_id", F.col("pm_fight_date").alias("pd"), X.name_tokens(F.array_join("fighters_pm", " ")).alias("b"), "pm_volume")
-    j = asof.band_join(fk, fp, "d", "pd", 1).withColumn("overlap_count", X.overlap(F.col("a"), F.col("b"))).where("overlap_count >= 1")
-    best = match.first_per(j, ["fight_id"], [F.desc("overlap_count"), F.desc_nulls_last("pm_volume"), F.col("pm_id")])
-    return best.select("fight_id", "pm_id", "overlap_count", F.when(F.col("overlap_count") >= 2, "HIGH").otherwise("LOW").alias("match_confidence"))
+    """Rule-based crosswalk: fights and markets a day apart at most whose name tokens overlap, best overlap first, then volume; every fight with how sure its match is."""
+    return _crosswalk(spark, sf)
 
 
 # -- the survey's full parameters of q12, q18 and q51 -------------------------

@@ -24,12 +24,24 @@ def once(stream: DataFrame, key: str, ts: str, late: str = "2 minutes") -> DataF
 
 def streaming_bars(stream: DataFrame, keys: list[str], ts: str, width: str, price: str = "price", weight: str = "size", tie: str = "trade_id") -> DataFrame:
     """make_bars over tumbling windows of a stream."""
-    at = F.struct(F.col(ts), F.col(tie))
+    known = F.col(price).isNotNull()  # a null price counts in nothing
+    at, w = F.when(known, F.struct(F.col(ts), F.col(tie))), F.when(known, F.col(weight))
     return stream.groupBy(*keys, F.window(ts, width).alias("w")).agg(
-        F.count(price).alias("n"), F.max_by(price, at).alias("last"), (F.sum(F.col(price) * F.col(weight)) / F.nullif(F.sum(weight), F.lit(0.0))).alias("vwap"), F.sum(weight).alias("vol")
+        F.count(price).alias("n"), F.max_by(price, at).alias("last"), (F.sum(F.col(price) * w) / F.nullif(F.sum(w), F.lit(0.0))).alias("vwap"), F.sum(w).alias("vol")
     ).select(*keys, F.unix_seconds("w.start").alias("bar"), "n", "last", "vwap", "vol")
 
 
+def rolling(stream: DataFrame, keys: list[str], ts: str, width: str, step: str, x: str, late: str = "2 minutes") -> DataFrame:
+    """Sum of ``x`` over the last ``width`` at every ``step``: sliding windows, each row in width/step of them; state ends with the watermark."""
+    s = stream.withWatermark(ts, late).groupBy(*keys, F.window(ts, width, step).alias("w"))
+    return s.agg(F.sum(x).alias("sum"), F.count(x).alias("n")).select(*keys, F.unix_seconds("w.end").alias("upto"), "sum", "n")
+
+
+def since(stream: DataFrame, ts: str, start: str, back: str = "24 hours") -> DataFrame:
+    """A cold start: only rows from ``back`` before ``start`` on, a filter that reaches the scan."""
+    return stream.where(F.col(ts) >= F.lit(start).cast("timestamp") - F.expr(f"interval {back}"))
+
+
 def drain(df: DataFrame, mode: str = "complete", name: str | None = None) -> DataFrame:
     """Run a query over all that is there (availableNow) and return what it wrote; an aggregate in complete mode keeps its open windows."""
     spark, at = df.sparkSession, scratch(df.sparkSession, name or "stream")

@@ -8,7 +8,7 @@ from datetime import date, datetime
 import duckdb
 import pytest
 
-from tapelight.plans import catalogue, training
+from tapelight.plans import catalogue, survey, training  # noqa: F401
 from tests.conftest import SF
 
 QUERIES, ORACLE = catalogue.QUERIES | training.QUERIES, catalogue.ORACLE | training.ORACLE
