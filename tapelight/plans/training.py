@@ -143,7 +143,18 @@ _MESSAGES = f"""messages AS (SELECT 'tape_live' AS tape, {_hex_sql('trade_id')}
 _PRICED = """priced AS (SELECT 'tape_archive' AS tape, ticker AS series_key, epoch_us(created_time)//300000000*300 AS bar FROM tape_archive WHERE yes_price IS NOT NULL AND ticker IS NOT NULL AND created_time IS NOT NULL
  UNION ALL SELECT 'tape_api', market_id, epoch_us(ts_utc)//300000000*300 FROM tape_api WHERE price_yes IS NOT NULL AND NOT isnan(price_yes) AND market_id IS NOT NULL AND ts_utc IS NOT NULL),
  span AS (SELECT tape, series_key, min(bar) lo, max(bar) hi FROM priced GROUP BY ALL), grid AS (SELECT tape, series_key, unnest(generate_series(lo, hi, 300)) AS bar_s FROM span)"""
+#: Readings with the contracts each adds, spread over the cells since the reading before it by their share of that time.
+_READ = """ra AS (SELECT 'tape_archive' AS tape, ticker AS series_key, epoch_us(created_time) AS t, CAST(delivery_id AS VARCHAR) AS tie, CASE WHEN yes_price IS NULL THEN NULL WHEN abs((yes_price+no_price)/1e2-1)<=0.0011 THEN yes_price/1e2
+  WHEN abs((yes_price+no_price)/1e3-1)<=0.0011 THEN yes_price/1e3 WHEN abs((yes_price+no_price)/1e4-1)<=0.0011 THEN yes_price/1e4 WHEN abs(yes_price+no_price-1)<=0.0011 THEN CAST(yes_price AS DOUBLE)
+  WHEN abs(yes_price)<=100 THEN yes_price/1e2 WHEN abs(yes_price)<=1000 THEN yes_price/1e3 WHEN abs(yes_price)<=10000 THEN yes_price/1e4 ELSE yes_price/1e2 END AS price, CAST(n_contracts AS DOUBLE) AS q FROM tape_archive
+ UNION ALL SELECT 'tape_api', market_id, epoch_us(ts_utc), concat_ws('|', tx_hash, token_id), CASE WHEN NOT isnan(price_yes) THEN price_yes END, CASE WHEN NOT isnan(size) THEN size END FROM tape_api),
+ rb AS (SELECT *, t//300000000 AS cell FROM ra WHERE price IS NOT NULL AND series_key IS NOT NULL AND t IS NOT NULL), rc AS (SELECT *, lag(t) OVER w AS pt, lag(cell) OVER w AS pc FROM rb WINDOW w AS (PARTITION BY tape, series_key ORDER BY t, tie)),
+ sp AS (SELECT tape, series_key, unnest(generate_series(pc, cell)) AS ce, t, pt, coalesce(q,0) AS q, pc=cell AS inner_ FROM rc WHERE pt IS NOT NULL),
+ inc AS (SELECT tape, series_key, ce, sum(CASE WHEN inner_ THEN q WHEN t=pt THEN 0 ELSE q*greatest(least((ce+1)*300000000, t)-greatest(ce*300000000, pt),0)/(t-pt) END) AS inc FROM sp GROUP BY ALL),
+ own AS (SELECT tape, series_key, cell AS ce, count(*) AS n, arg_max(price,(t,tie)) AS last FROM rb GROUP BY ALL),
+ al AS (SELECT tape, series_key, unnest(generate_series(min(cell), max(cell))) AS ce FROM rb GROUP BY tape, series_key)"""
 ORACLE: dict[str, str] = {
+    "p5_grid": "WITH " + _READ + " SELECT al.tape, al.series_key, al.ce*300 AS bar_s, own.n IS NOT NULL AS covered, coalesce(own.n,0) AS n, round(last_value(own.last IGNORE NULLS) OVER (PARTITION BY al.tape, al.series_key ORDER BY al.ce),6) AS price, round(coalesce(inc.inc,0),6) AS contracts FROM al LEFT JOIN own USING (tape, series_key, ce) LEFT JOIN inc USING (tape, series_key, ce)",
     "p4_found": "WITH " + _MESSAGES + " SELECT tape, delivery_id FROM ranked WHERE rn > 1",
     "p4_kept": "WITH " + _MESSAGES + " SELECT tape, delivery_id FROM ranked WHERE rn = 1",
     "p5_found": "WITH " + _PRICED + " SELECT tape, series_key, bar_s FROM grid g WHERE NOT EXISTS (SELECT 1 FROM priced p WHERE p.tape = g.tape AND p.series_key = g.series_key AND p.bar = g.bar_s)",
