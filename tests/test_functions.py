@@ -84,9 +84,13 @@ def test_ladder_identities(spark):
     assert m["middle"].is_monotonic_decreasing and m["ltr"].is_monotonic_decreasing and m["rtl"].is_monotonic_decreasing
     p = ladders.pmf(ladders.monotone(g))
     assert p.agg(F.sum("probability")).first()[0] == pytest.approx(100)
-    u = ladders.swap_to_mode(p).orderBy("strike").toPandas()["probability"].to_numpy()
-    top = u.argmax()
-    assert (np.diff(u[: top + 1]) >= 0).all() and (np.diff(u[top:]) <= 0).all() and u.sum() == pytest.approx(100)
+    b = ladders.bins(ladders.monotone(g))
+    u = ladders.swapped(b).orderBy("strike").toPandas()
+    assert sorted(u["mass"]) == sorted(r.mass for r in b.collect()) and ladders.normalised(ladders.swapped(b)).agg(F.sum("probability")).first()[0] == pytest.approx(100)
+    # no gap is left that a mass over 49 could move up into, nor one under it down, but at the median's bin
+    kept = max(u.index[u.price > 49])
+    assert not any(u.price[k] > 49 and k != kept and u["mass"][k] and not u["mass"][k + 1] for k in range(len(u) - 1))
+    assert not any(u.price[k] < 49 and k + 1 != kept and not u["mass"][k] and u["mass"][k + 1] for k in range(len(u) - 1))
 
 
 def test_asof_and_interpolation(spark):
