@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tapelight.functions import text as X
 from tapelight.operators import asof, bars, eventstudy, ladders, match, stats
-from tapelight.plans.catalogue import _CO, _GAPS, _MONO, _PMF, _RET, _VENUE, _XW, HOUR, _co, _crosswalk, _dense, _market_sides, _panel, _ret, _venue, boot_sql, moves_sql, query, rounded
+from tapelight.plans.catalogue import _CO, _GAPS, _MONO, _PANEL, _PMF, _RET, _VENUE, _XW, HOUR, _co, _crosswalk, _dense, _market_sides, _panel, _ret, _venue, boot_sql, moves_sql, query, rounded
 from tapelight.sources.fixtures import LADDER_SQL, TAPE_SQL, ladder, tape
 from tapelight.sources.tables import table
 
@@ -288,3 +288,22 @@ def q104_lag_to_expiry(spark, sf):
 def q105_flags(spark, sf):
     return table(spark, sf, "tape_live").groupBy("ticker", F.regexp_extract("ticker", "T([0-9.]+)$", 1).alias("tail"), X.is_flag(F.col("is_block_trade").cast("string")).alias("block")).agg(F.count("*").alias("n"))
 
+
+
+@query("WITH " + _XW + " SELECT x.fight_id, x.pm_id, len(list_filter(fk.a, lambda u: len(list_filter(fp.b, lambda v: length(u)>=4 AND length(v)>=4 AND (contains(u,v) OR contains(v,u))))>0))>0 AS contained FROM xw x JOIN fk USING (fight_id) JOIN fp USING (pm_id)")
+def q106_contained_names(spark, sf):
+    """Whether a name token of one side contains one of the other, for the pairs of the crosswalk."""
+    k = table(spark, sf, "fights_k").select("fight_id", X.name_tokens(F.array_join("fighters_kalshi", " ")).alias("a"))
+    p = _market_sides(spark, sf).select("pm_id", "b")
+    return _crosswalk(spark, sf).where("pm_id is not null").join(k, "fight_id").join(p, "pm_id").select("fight_id", "pm_id", X.any_contained(F.col("a"), F.col("b")).alias("contained"))
+
+
+@query("WITH " + _PANEL + " SELECT fight, bar, round(first_value(pm_vwap IGNORE NULLS) OVER (PARTITION BY fight ORDER BY bar ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING),6) AS next_vwap FROM panel")
+def q107_backward_fill(spark, sf):
+    return _panel(spark, sf).select("fight", "bar", F.round(bars.backward_fill("pm_vwap"), 6).alias("next_vwap"))
+
+
+@query("WITH " + LADDER_SQL + ", t AS (SELECT 'KX' || contract || '-25-T' || CAST(strike AS VARCHAR) AS ticker FROM ladder) SELECT ticker, TRY_CAST(regexp_extract(ticker,'-T([0-9]+\\.?[0-9]*)',1) AS DOUBLE) AS strike, count(*) AS n FROM t GROUP BY ALL")
+def q108_strike_of_ticker(spark, sf):
+    t = ladder(spark, sf).select(F.concat(F.lit("KX"), "contract", F.lit("-25-T"), F.col("strike").cast("string")).alias("ticker"))
+    return t.groupBy("ticker", X.strike_of(F.col("ticker")).alias("strike")).agg(F.count("*").alias("n"))

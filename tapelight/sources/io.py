@@ -128,6 +128,37 @@ def pages(fetch: Callable[[str | None], tuple[int, str]], retry: Retry, items: s
             return
 
 
+def signed(sign: Callable[[bytes], bytes], key: str, method: str, path: str, at_ms: int) -> dict[str, str]:
+    """Headers of a signed request: ``sign`` (the caller's private key) over time, method and path without query."""
+    import base64
+
+    text = f"{at_ms}{method.upper()}{path.split('?')[0]}"
+    return {"ACCESS-KEY": key, "ACCESS-TIMESTAMP": str(at_ms), "ACCESS-SIGNATURE": base64.b64encode(sign(text.encode())).decode()}
+
+
+def offset_pages(fetch: Callable[[int], tuple[int, str]], retry: Retry, size: int, until: Callable[[dict], bool] = lambda x: False) -> Iterator[dict]:
+    """Items of an API paged by offset, newest first; stops at a page that isn't full or the first item that ``until`` knows."""
+    at = 0
+    while True:
+        items = json.loads(retry(lambda: fetch(at)))  # noqa: B023
+        for item in items:
+            if until(item):
+                return
+            yield item
+        if len(items) < size:
+            return
+        at += size
+
+
+def candles(df: DataFrame, payload: str = "payload") -> DataFrame:
+    """Daily candles of recorded API answers: one row per market and period; fields an answer lacks are null."""
+    side = "struct<open:double,high:double,low:double,close:double>"
+    schema = f"struct<market_ticker:string,candlesticks:array<struct<end_period_ts:bigint,yes_bid:{side},yes_ask:{side},price:{side},volume:bigint,open_interest:bigint>>>"
+    d = df.select(F.from_json(payload, schema).alias("p")).select("p.market_ticker", F.explode("p.candlesticks").alias("c"))
+    sides = [F.col(f"c.{s}.{f}").alias(f"{s}_{f}") for s in ("yes_bid", "yes_ask", "price") for f in ("open", "high", "low", "close")]
+    return d.select("market_ticker", F.timestamp_seconds("c.end_period_ts").alias("end_period_utc"), *sides, "c.volume", "c.open_interest")
+
+
 class PagedReader(DataSourceReader):
     """One partition per market; pages come from files named MARKET.N.json in ``path`` (a recorded API)."""
 

@@ -16,8 +16,3 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     ntz = [f.name for f in df.schema.fields if isinstance(f.dataType, T.TimestampNTZType)]
     return df.withColumns({c: F.to_utc_timestamp(F.col(c).cast("timestamp"), F.current_timezone()) for c in ntz}) if ntz else df
-
-
-def epoch_us(c):
-    """Microseconds since 1970 of a timestamp column."""
-    return F.unix_micros(c)

@@ -150,3 +150,21 @@ def test_gap_alerts_stream(spark, tmp_path):
     s = live.follow(spark, f"{tmp_path}/in", spark.read.parquet(f"{tmp_path}/in").schema)
     got = {tuple(r) for r in live.drain(live.gap_alerts(s, "fight", "t", "gap"), "append").collect()}
     assert got == {("f", 1, None, "open"), ("f", 1, 3, "close")}
+
+
+def test_offset_pages_headers_and_candles(spark):
+    import base64
+    import json
+
+    from tapelight.sources import io
+
+    data = [{"id": k} for k in range(7)]
+    asked = []
+    fetch = lambda at: asked.append(at) or (200, json.dumps(data[at : at + 3]))
+    assert list(io.offset_pages(fetch, io.Retry(), 3)) == data and asked == [0, 3, 6]
+    assert [x["id"] for x in io.offset_pages(fetch, io.Retry(), 3, until=lambda x: x["id"] == 4)] == [0, 1, 2, 3]
+    h = io.signed(lambda b: b[::-1], "k", "get", "/trades?cursor=1", 5)
+    assert h["ACCESS-TIMESTAMP"] == "5" and base64.b64decode(h["ACCESS-SIGNATURE"]) == b"5GET/trades"[::-1]
+    answer = {"market_ticker": "M", "candlesticks": [{"end_period_ts": 86400, "yes_bid": {"open": 0.1, "close": 0.2}, "price": {"high": 0.5}, "volume": 3}]}
+    r = io.candles(spark.createDataFrame([(json.dumps(answer),), (None,), ("{}",)], "payload string")).collect()
+    assert len(r) == 1 and (r[0].market_ticker, r[0].yes_bid_open, r[0].yes_bid_close, r[0].yes_ask_open, r[0].price_high, r[0].volume, r[0].open_interest) == ("M", 0.1, 0.2, None, 0.5, 3, None)
