@@ -30,9 +30,11 @@ def event_windows(events: DataFrame, trades: DataFrame, before: int, after: int,
 
 
 def band_join(a: DataFrame, b: DataFrame, da: str, db: str, days: int, on: list[str] | None = None) -> DataFrame:
-    """Pairs whose dates lie within ``days``: a's rows go to each day of the band and meet b by equality."""
-    x = a.withColumn("_day", F.explode(F.sequence(F.date_add(da, -days), F.date_add(da, days))))
-    return x.join(b.withColumn("_day", F.col(db)), ["_day", *(on or [])]).drop("_day")
+    """Pairs whose dates lie within ``days``: spans of days as wide as the band, so an a row goes to the two at most that its band reaches and meets b there; then the exact bounds."""
+    width, at = 2 * days + 1, F.unix_date(da)
+    x = a.withColumn("_span", F.explode(F.sequence(F.floor((at - days) / width), F.floor((at + days) / width))))
+    y = b.withColumn("_span", F.floor(F.unix_date(db) / width))
+    return x.join(y, ["_span", *(on or [])]).where(F.abs(F.datediff(da, db)) <= days).drop("_span")
 
 
 def interpolate_at(points: DataFrame, at: DataFrame, key: str, t: str, x: str) -> DataFrame:

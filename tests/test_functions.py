@@ -93,6 +93,29 @@ def test_ladder_identities(spark):
     assert not any(u.price[k] < 49 and k + 1 != kept and not u["mass"][k] and u["mass"][k + 1] for k in range(len(u) - 1))
 
 
+def test_band_join_against_all_pairs(spark):
+    r = np.random.default_rng(3)
+    make = lambda n: [(k, int(r.integers(3)) if k % 9 else None, int(r.integers(-200, 200)) if k % 7 else None) for k in range(n)]
+    left, right = make(150), make(120)
+    frame = lambda rows, x: spark.createDataFrame(rows, f"{x} int, k int, d int").select(x, "k", F.date_from_unix_date("d").alias(f"d{x}"))
+    for days in (0, 1, 30):
+        j = asof.band_join(frame(left, "a"), frame(right, "b"), "da", "db", days, ["k"]).select("a", "b")
+        want = sorted((a, b) for a, k, d in left for b, m, e in right if None not in (k, d, e) and k == m and abs(d - e) <= days)
+        assert want and sorted(tuple(x) for x in j.collect()) == want
+        assert rows_out(j, "GenerateExec") <= 2 * len(left)
+
+
+def rows_out(df, kind):
+    """Rows that the nodes of a kind made in the plan that ran."""
+    def walk(p):
+        name = p.getClass().getSimpleName()
+        inner = p.executedPlan() if name == "AdaptiveSparkPlanExec" else p.plan() if name.endswith("QueryStageExec") else None
+        below = [inner] if inner else [p.children().apply(k) for k in range(p.children().size())]
+        return (p.metrics().apply("numOutputRows").value() if name == kind else 0) + sum(map(walk, below))
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
 def test_asof_and_interpolation(spark):
     right = spark.createDataFrame([("a", 10, 1.0, 1), ("a", 10, 2.0, 2), ("a", 20, 3.0, 3)], "k string, t int, x double, id int")
     left = spark.createDataFrame([("a", 9, "p"), ("a", 10, "q"), ("a", 15, "r"), ("b", 5, "s")], "k string, t int, tag string")
