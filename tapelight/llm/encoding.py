@@ -15,9 +15,10 @@ plus the chain's cost, the bytes that naming its steps takes. Of
 all chains of up to ``depth`` steps (text damaged more than once) the one of
 least length wins; where none is shorter than the text as it is, it stays.
 
-Models: one dictionary per language, trained on at most ``sample`` texts of
-it, longer than 40 characters, that pass a purity check (a documented bound;
-an arbitrary but repeatable choice by hash). Everything else runs on all rows where they are: no shuffle,
+Models: one dictionary per language, from all its texts longer than 40
+characters that pass a purity check: groups of texts are distilled, then what
+is left of them, until one dictionary remains. Characters are counted over
+all of these texts. Everything else runs on all rows where they are: no shuffle,
 no state between rows. Characters that no restoration can explain
 (U+FFFD, C1 controls) mark a text as affected but not restorable.
 
@@ -30,12 +31,12 @@ import functools
 import math
 import re
 import unicodedata
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Encodings that text is commonly read with by mistake, and those it was commonly in.
@@ -44,10 +45,13 @@ WAS_IN = ("cp1252", "cp1250", "cp1251", "iso8859_2", "mac_roman", "koi8_r", "cp8
 #: Bytes that naming a step takes: one of the readings; for a stretch one of the pairs and where it lies.
 UTF8_COST, BYTES_COST = math.log2(len(READ_AS)) / 8, 2.0
 LOST = "�"
+#: Share of a language's texts that have a usual character; bytes that a dictionary is made from at least; how many groups one is made of.
+USUAL, ENOUGH, FAN = 0.01, 20_000, 16
+_OFFSETS = b"\1\0\0\0\4\0\0\0\x08\0\0\0"
 _LONG_RUN = re.compile(r"[^\x00-\x7f]{2,}")  # one character alone is never UTF-8 read as single bytes
 _CONTROL = re.compile(r"[\x80-\x84\x86-\x9f]")  # no text has these on purpose; \x85 is a line end of old
 _BEYOND = re.compile(r"[^\x00-\x7f]")
-_STRETCH = re.compile(r"[^.!?\n]*[^\x00-\x7f][^.!?\n]*")
+_STRETCH = re.compile(r"[^.!?\n]+")
 
 
 @functools.cache
@@ -212,6 +216,8 @@ def _mixed_up(text: str, lang: str | None, model: Model, cost: float) -> tuple[s
 
     def stretch(m: re.Match) -> str:
         s = m[0]
+        if s.isascii():
+            return s
         letters = _BEYOND.findall(s)
         # of an unknown language: unusual for what the sentence looks like, or for the text around it
         r = sum(c not in usual for c in letters) if known else max(model.rare(s, None), model.rare(s, whole))
@@ -272,48 +278,136 @@ def affected(text: str | None, lang: str | None, model: Model) -> tuple[bool, st
     return bool(chains) or LOST in got or bool(_CONTROL.search(got)), got, " ".join(dict.fromkeys(chains)) or None
 
 
-def _frequent(texts: list[str], share: float) -> set[str]:
-    """Characters beyond ASCII that at least ``share`` of the texts have."""
-    counts = Counter(c for t in texts for c in set(_BEYOND.findall(t)))
-    return {c for c, n in counts.items() if n >= max(3, share * len(texts))}
+def _tally(text: str) -> dict[str, int]:
+    """A text's characters beyond ASCII once each; at "" the text itself, at "bytes" its size."""
+    return dict.fromkeys(_BEYOND.findall(text), 1) | {"": 1, "bytes": len(text.encode())}
+
+
+def _tallied(texts: list[str]) -> Counter:
+    out: Counter = Counter()
+    for t in texts:
+        out.update(_tally(t))
+    return out
+
+
+def _frequent(counts: Counter, share: float) -> frozenset[str]:
+    """Characters beyond ASCII that at least ``share`` of the tallied texts have."""
+    return frozenset(c for c, n in counts.items() if c not in ("", "bytes") and n >= max(3, share * counts[""]))
+
+
+def _pure(text: str, often: frozenset[str]) -> bool:
+    """Without a trace of damage: no run that can be UTF-8, no sentence of which a single-byte reading turns two or more letters into characters ``often`` there, and leaves no others."""
+    if LOST in text or undo_each(text, often):
+        return False
+    if often.issuperset(_BEYOND.findall(text)):
+        return True
+    for s in _STRETCH.findall(text):
+        letters = [] if s.isascii() else sorted(set(_BEYOND.findall(s)))
+        if sum(c not in often for c in letters) > 1 and any(all(y in often or y <= "\x7f" for y in put.values()) for _, put in readings("".join(letters))):
+            return False
+    return True
+
+
+def _parts(text: str) -> list[str]:
+    return re.findall(r"[^\n]{1,400}", text)
+
+
+def _dictionary(parts: list[bytes], size: int, whole: int = 0) -> bytes | None:
+    """A dictionary, if there is text enough for one. whole: bytes of the text that the parts were distilled from."""
+    total = sum(map(len, parts))
+    return zstandard.train_dictionary(min(size, max(total, whole) // 4), parts, k=256, d=8).as_bytes() if total > ENOUGH else None
+
+
+def _distilled(parts: list[bytes], size: int) -> list[str]:
+    """What a dictionary keeps of the parts, of ``size`` but always of more than one is made from at least; all of them where they hardly exceed it."""
+    keep = max(size, 2 * ENOUGH)
+    if sum(map(len, parts)) <= keep:
+        return [p.decode() for p in parts]
+    # its content comes after the tables and the three offsets that every dictionary starts with
+    return _parts(zstandard.train_dictionary(keep, parts, k=256, d=8).as_bytes().split(_OFFSETS, 1)[1].decode("utf-8", "ignore"))
 
 
-def fit(texts: dict[str, list[str]], size: int = 64_000, usual: float = 0.01) -> Model:
-    """A model from sample texts by language: only texts of common characters without a trace of damage teach the dictionaries.
+def fit(texts: dict[str, list[str]], size: int = 64_000, usual: float = USUAL) -> Model:
+    """A model from texts by language: only texts of common characters without a trace of damage teach the dictionaries.
 
     The pooled characters come from all of them; a pooled dictionary is only made where no language has enough text for one of its own.
     """
     # damage first shows against the characters that very many texts of the language have
-    pure = {x: [t for t in ts if LOST not in t and not undo_each(t, often)] for x, ts in texts.items() for often in [frozenset(_frequent(ts, 5 * usual))]}
+    pure = {x: [t for t in ts if _pure(t, often)] for x, ts in texts.items() for often in [_frequent(_tallied(ts), 5 * usual)]}
     dictionaries, common = {}, {}
     for lang, ts in [*sorted(pure.items()), ("", [t for ts in pure.values() for t in ts])]:
-        usually = _frequent(ts, usual)
+        usually = _frequent(_tallied(ts), usual)
         common[lang] = "".join(sorted(usually))
         if not lang and dictionaries:
             break
-        parts = [s.encode() for t in ts if usually.issuperset(_BEYOND.findall(t)) for s in re.findall(r"[^\n]{1,400}", t)]
-        if sum(map(len, parts)) > 20_000:
-            dictionaries[lang] = zstandard.train_dictionary(min(size, sum(map(len, parts)) // 4), parts, k=256, d=8).as_bytes()
+        if made := _dictionary([s.encode() for t in ts if usually.issuperset(_BEYOND.findall(t)) for s in _parts(t)], size):
+            dictionaries[lang] = made
     return Model(dictionaries, common)
 
 
-def train(documents: DataFrame, sample: int = 1200, size: int = 64_000) -> Model:
-    """Dictionaries and common characters per language.
+def train(documents: DataFrame, sample: int = 30_000, size: int = 64_000, usual: float = USUAL) -> Model:
+    """Dictionaries and common characters per language, from every text of more than 40 characters: what ``fit`` makes, at any size.
 
-    ``sample`` bounds the texts that come to the driver, per language, for
-    training only. The choice is by hash of the id, so it is the same on
-    every run.
+    Characters are counted over all texts. Dictionaries are made in steps:
+    groups of about ``sample`` texts (by hash, so they are the same on every
+    run) are each distilled into what a dictionary keeps of them, those
+    ``FAN`` at a time, until one is left per language. The driver gets the
+    counts and the dictionaries, never texts.
     """
-    rows = documents.where(F.col("lang").isNotNull() & (F.length("text") > 40)).select("lang", "text", F.xxhash64("doc_id").alias("h"))
-    # per language the rows with the smallest hashes: a hash bound first, so that no task gathers a whole language
-    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}  # a row per language
-    share = F.coalesce(*[F.when(F.col("lang") == x, F.lit(min(1.0, 1.5 * sample / n))) for x, n in counts.items()], F.lit(0.0)) if counts else F.lit(0.0)
-    near = rows.where(F.pmod(F.col("h"), F.lit(1_000_003)) < share * 1_000_003)
-    first = Window.partitionBy("lang").orderBy("h")
-    texts: dict[str, list[str]] = {}
-    for r in near.withColumn("k", F.row_number().over(first)).where(F.col("k") <= sample).select("lang", "text").collect():
-        texts.setdefault(r[0], []).append(r[1])
-    return fit(texts, size)
+    rows = documents.where(F.col("lang").isNotNull() & (F.length("text") > 40)).select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
+
+    def tallied(often: dict[str, frozenset[str]] | None) -> dict[str, Counter]:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            by: dict[str, Counter] = defaultdict(Counter)
+            for b in batches:
+                for x, t in zip(b["lang"], b["text"]):
+                    if often is None or _pure(t, often[x]):
+                        by[x].update(_tally(t))
+            yield pd.DataFrame([(x, c, n) for x, counts in by.items() for c, n in counts.items()], columns=["lang", "c", "n"])
+
+        out: dict[str, Counter] = defaultdict(Counter)
+        for x, c, n in rows.select("lang", "text").mapInPandas(run, "lang string, c string, n bigint").groupBy("lang", "c").agg(F.sum("n")).collect():
+            out[x][c] = n
+        return out
+
+    often = {x: _frequent(counts, 5 * usual) for x, counts in tallied(None).items()}
+    pure = tallied(often)
+    usually = {x: _frequent(pure[x], usual) for x in often}
+    pool: Counter = sum(pure.values(), Counter())
+    pooled = _frequent(pool, usual)
+
+    def taught(by: dict[str, Counter], common: dict[str, frozenset[str]], name: dict[str, str]) -> dict[str, bytes]:
+        """Dictionaries by name: of each language, or of several languages under one."""
+        left = {x: max(-(-k[""] // sample), -(-k["bytes"] // (1000 * sample))) for x, k in by.items()}
+
+        many = left
+
+        def chosen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                got = [(n, h % many[n], h, _parts(t), None) for x, t, h in zip(b["lang"], b["text"], b["h"]) for n in [name[x]] if common[n].issuperset(_BEYOND.findall(t)) and _pure(t, often[x])]
+                yield pd.DataFrame(got, columns=["lang", "g", "h", "parts", "dictionary"])
+
+        def step(groups: dict[str, int]):
+            def run(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
+                lang, g = key[0], int(key[1])
+                if not groups[lang]:
+                    return b
+                parts = [s.encode() for ps in b.sort_values("h")["parts"] for s in ps]
+                last = groups[lang] == 1
+                row = (lang, g // FAN, g, [] if last else _distilled(parts, size), _dictionary(parts, size, by[lang]["bytes"] * (many[lang] > 1)) if last else None)
+                return pd.DataFrame([row], columns=["lang", "g", "h", "parts", "dictionary"])
+
+            return run
+
+        kind = "lang string, g bigint, h bigint, parts array<string>, dictionary binary"
+        out = rows.mapInPandas(chosen, kind)
+        while any(left.values()):
+            out = out.groupBy("lang", "g").applyInPandas(step(left), kind)
+            left = {x: -(-k // FAN) if k > 1 else 0 for x, k in left.items()}  # none: it has its dictionary
+        return {x: bytes(d) for x, d in out.where("dictionary is not null").select("lang", "dictionary").collect()}
+
+    dictionaries = taught(pure, usually, {x: x for x in often}) or taught({"": pool}, {"": pooled}, dict.fromkeys(often, ""))
+    return Model(dictionaries, {x: "".join(sorted(c)) for x, c in (usually | {"": pooled}).items()})
 
 
 def repaired(documents: DataFrame, model: Model) -> DataFrame:

@@ -103,3 +103,22 @@ def test_frame(spark):
     assert [(r.doc_id, r.restored) for r in out.where("affected").collect()] == [(9999, "A decisão não saiu antes da última sessão.")]
     empty = docs.where(F.lit(False))
     assert E.repaired(empty, E.train(empty)).count() == 0
+
+
+def test_every_text_teaches(spark):
+    # a letter in one text of eighty, and more text than a dictionary keeps: both come from all texts, whatever the groups
+    r = random.Random(2)
+    texts = [f"{' '.join(r.choices(PT, k=3))} {r.randrange(10**9)}{' Só o Łukasz sabia.' * (k % 80 == 7)}" for k in range(2000)]
+    docs = spark.createDataFrame([(k, t, "pt") for k, t in enumerate(texts)], "doc_id bigint, text string, lang string")
+    want = E.fit({"pt": texts}, size=3000)
+    for sample in (30, 500, 5000):
+        got = E.train(docs, sample=sample, size=3000)
+        assert got.common == want.common and "Ł" in got.common["pt"] and got.dictionaries.keys() == {"pt"}
+        assert sum(got.length(t, "pt") for t in texts) < 1.1 * sum(want.length(t, "pt") for t in texts)
+    assert E.train(docs.repartition(7), sample=500, size=3000).dictionaries == E.train(docs, sample=500, size=3000).dictionaries
+
+
+def test_sentences_of_a_mix_up_teach_nothing():
+    clean, bad = "Sędzia przyznał punkty, różnica żadna.", "Sędzia przyznał punkty, różnica żadna.".encode("cp1250").decode("cp1252")
+    m = E.fit({"pl": [f"{bad if k % 50 == 0 else clean} {k}" for k in range(2000)]})
+    assert set(m.common["pl"]) == set("ęłóż") and E.affected(bad, "pl", m)[:2] == (True, clean) and not E.affected(clean, "pl", m)[0]
